@@ -32,6 +32,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sketches import beside_next
 
@@ -63,7 +69,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_toxicity, op5_fingerprints, op7_token_counts, op8_suffix_dedup, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op2_sharding, op3_toxicity, op4_html_extraction, op5_fingerprints, op7_token_counts, op8_suffix_dedup, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
