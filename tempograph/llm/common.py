@@ -102,3 +102,11 @@ def running(df: DataFrame, keys: list[str], order: list[Column], spread: list[Co
         .withColumn(out, F.col("_before") + F.col("_inside"))
         .drop("_bucket", "_inside", "_before", "_w")
     )
+
+
+def save_bucketed(scratch: Scratch, df: DataFrame, name: str, key: str) -> DataFrame:
+    """A table in the shared folder, bucketed by a key so that joins on it do not move its rows."""
+    label = f"{name}_{uuid.uuid4().hex}"
+    buckets = parallelism(scratch.spark)
+    df.write.bucketBy(buckets, key).option("path", f"{scratch.root}/{name}").option("compression", "zstd").saveAsTable(label)
+    return scratch.spark.table(label)

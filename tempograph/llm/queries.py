@@ -19,6 +19,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -69,7 +75,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_toxicity, op4_html_extraction, op5_fingerprints, op7_token_counts, op8_suffix_dedup, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_toxicity, op4_html_extraction, op5_fingerprints, op7_token_counts, op8_suffix_dedup, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
