@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beside_next(table(spark, sf_dir, "documents"))
 
 
+def op6_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .segmentation import sample_segmentations
+
+    return sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -75,7 +82,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_toxicity, op4_html_extraction, op5_fingerprints, op7_token_counts, op8_suffix_dedup, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_toxicity, op4_html_extraction, op5_fingerprints, op6_segmentations, op7_token_counts, op8_suffix_dedup, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
