@@ -15,12 +15,12 @@ Only the best k + 1 open nodes can matter, so others are dropped.  Noise has 32
 bits and never exceeds 23, so where a path's log mass is more than 23 below
 the last of the k + 1 nothing beside it can enter, and the rest of the path is
 drawn for all texts of a batch at once.  With kappa the (k + 1)-th largest value, a
-segmentation is included with probability 1 - exp(-exp(log p - kappa)).
+segmentation is included with probability 1 - exp(-exp(log p - kappa)), whose
+logarithm is the inclusion score.
 
 Noise is seeded by the row's key: equal rows give equal samples wherever they
 are run.  A null text counts as empty and, like an empty one, has the one empty
-segmentation.  Texts with fewer than k segmentations give them all (inclusion
-1).  Extra columns are ignored.
+segmentation.  Texts with fewer than k segmentations give them all (score 0).  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -303,7 +303,7 @@ class Sample:
     ids: np.ndarray
     log_prob: float
     perturbed: float
-    inclusion: float
+    log_inclusion: float
 
 
 def segment(texts: pa.Array, seeds: list[int], pieces: Pieces, seen: np.ndarray, k: int) -> list[Sample]:
@@ -339,7 +339,7 @@ def segment(texts: pa.Array, seeds: list[int], pieces: Pieces, seen: np.ndarray,
                 node.at = places[node.at]
         picked.append(got[0])
         kappa.append(got[1])
-    out = [Sample(row, 0, np.zeros(0, np.int64), 0.0, 0.0, 1.0) for row in np.flatnonzero(empty).tolist()]
+    out = [Sample(row, 0, np.zeros(0, np.int64), 0.0, 0.0, 0.0) for row in np.flatnonzero(empty).tolist()]
     base = np.array([s & (2**64 - 1) for s in seeds], np.uint64)
     for r in range(k):
         rows = [i for i, p in enumerate(picked) if len(p) > r]
@@ -361,26 +361,30 @@ def segment(texts: pa.Array, seeds: list[int], pieces: Pieces, seen: np.ndarray,
             node = picked[i][r]
             ids = np.concatenate([np.array(node.path, np.int64), flat[ends[i] - by_row[i] : ends[i]]])
             log_p = node.mass + float(total[i])
-            included = 1.0 if kappa[i] == -math.inf else -math.expm1(-math.exp(min(700.0, log_p - kappa[i])))
-            out.append(Sample(i, r, spelled(ids, pieces.bytes_first), log_p, node.top, included))
+            out.append(Sample(i, r, spelled(ids, pieces.bytes_first), log_p, node.top, _included(log_p - kappa[i])))
     return out
 
 
+def _included(over: float) -> float:
+    """log(1 - exp(-exp(over))), which is ``over`` itself far below 0."""
+    return over if over < -30 else math.log(-math.expm1(-math.exp(min(over, 700.0))))
+
+
 def _seen(pieces: Pieces) -> np.ndarray:
     seen = np.zeros(1 << 21, bool)
     seen[_slot(pieces.hashes)] = True
     return seen
 
 
-SAMPLES = "sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids binary"
+SAMPLES = "sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids binary"
 
 
-def sample_segmentations(df: DataFrame, model_path: str, k: int = 2, alpha: float = 0.2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2_000_000) -> DataFrame:
-    """One row per sample: id, sample (from 0, best first), n_pieces, log_prob, perturbed, inclusion, ids.
+def sample_segmentations(df: DataFrame, model_path: str, k: int = 2, alpha: float = 0.2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 3_000_000) -> DataFrame:
+    """One row per sample: id, sample (from 0, best first), n_pieces, log_prob, perturbed, log_inclusion, ids.
 
     ``ids`` holds the piece ids as little-endian 16-bit numbers.  The model is
     read by the driver; its tables (bounded by the vocabulary) travel with the
-    task.  Very small inclusions of long texts may round to 0.
+    task.
     """
     pieces = Pieces.load(model_path, alpha)
     seen = _seen(pieces)
@@ -397,10 +401,10 @@ def sample_segmentations(df: DataFrame, model_path: str, k: int = 2, alpha: floa
                     pa.array([len(s.ids) for s in got], pa.int64()),
                     pa.array([s.log_prob for s in got], pa.float64()),
                     pa.array([s.perturbed for s in got], pa.float64()),
-                    pa.array([s.inclusion for s in got], pa.float64()),
+                    pa.array([s.log_inclusion for s in got], pa.float64()),
                     pa.array([s.ids.astype("<u2").tobytes() for s in got], pa.binary()),
                 ],
-                names=[id_col, "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids"],
+                names=[id_col, "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids"],
             )
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, {SAMPLES}")
