@@ -23,6 +23,7 @@ a component unless it has no other.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_bytes, parallelism
+from .common import Scratch, by_bytes, parallelism, save_bucketed
 from .components import star_components
+from .suffix_dedup import chunked, unpack
 
 # Fixed value: a generator polynomial of the binary Golay code.
 GENERATOR = 0b101011100011
@@ -289,3 +291,146 @@ def near_groups(df: DataFrame, size: int = 4, most: int = 4, id_col: str = "doc_
     return docs.join(named, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+# ---- copies alike in their shingles
+
+
+class Wide:
+    """Many SimHashes of a text's distinct words at once.
+
+    Words are counted, signed, in ``dims`` cells by their hash; each bit is the
+    sign of a random combination of the cells.  64 bits less one make a table's
+    three segments.
+    """
+
+    def __init__(self, tables: int = 96, dims: int = 1024, seed: int = 5):
+        self.tables, self.dims = tables, dims
+        self.plan = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (dims, tables * 63))
+
+    def keys(self, texts: list[str]) -> np.ndarray:
+        """One key per text and table: the codeword indices of the table's segments."""
+        cells = np.zeros((len(texts), self.dims), np.float32)
+        for i, text in enumerate(texts):
+            own = np.fromiter((xxhash.xxh64_intdigest(w) for w in set(text.encode("utf-8", "replace").lower().split())), np.uint64)
+            np.add.at(cells[i], (own >> np.uint64(8)) % np.uint64(self.dims), np.where(own & np.uint64(1), np.float32(1), np.float32(-1)))
+        bits = (cells @ self.plan > 0).reshape(len(texts), self.tables, 3, 21)
+        words = (bits * (1 << np.arange(21))).sum(axis=3)
+        index = decode(words)
+        keys = index[:, :, 0] << 24 | index[:, :, 1] << 12 | index[:, :, 2] | np.arange(self.tables) << 40
+        return _mixed(keys)
+
+
+def _first_shingle(text: str, size: int) -> int:
+    return min(shingle_values(text, size, 1), default=0)
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, tables: int = 96) -> DataFrame:
+    """One document of each group of near copies, with all its columns: the one of least id (of equal rows, one).
+
+    Near copies have a Jaccard similarity of their word shingles of
+    ``similarity`` or more; groups are what such links connect.  Equal texts
+    are one node.  Near copies differ in more bits than one fingerprint's code
+    words forgive, so ``tables`` fingerprints of the distinct words are taken,
+    each giving one key, the codeword indices of its three segments.  Rows of
+    equal key are paired with the first of their key, with the first that has
+    the same least shingle, and with the one before in that order: at most
+    three pairs per row and key, whatever the size of the group.  Every pair is
+    verified on the shingles themselves.  Two texts without words are alike,
+    and like no other.
+
+    Texts are packed into chunks bucketed by chunk, so nothing but keys, pairs
+    and the shingles of paired texts is shuffled.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "similar")
+    others = [c for c in docs.columns if c != "text"]
+    rest = F.struct(*others)
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"), rest.alias("rest"))
+    chunks = save_bucketed(scratch, chunked(source, 2_000_000), "chunks", "chunk")
+
+    def texts_of(batch: pa.RecordBatch, i: int) -> list[str]:
+        data = unpack(batch.column("data")[i].as_py())
+        ends = np.cumsum(np.frombuffer(batch.column("lengths")[i].as_py(), np.int64)).tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = [hashlib.md5(t.encode("utf-8", "replace")).digest() for t in texts_of(batch, i)]
+                chunk = pa.array([batch.column("chunk")[i].as_py()] * len(same), pa.int64())
+                place = pa.array(range(len(same)), pa.int32())
+                yield pa.RecordBatch.from_arrays([chunk, place, batch.column("ids")[i].values, pa.array(same, pa.binary())], names=["chunk", "place", "id", "same"])
+
+    named = chunks.select("chunk", "ids", "lengths", "data").mapInArrow(name, "chunk long, place int, id long, same binary")
+    rank = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), "chunk", "place")
+    texts = scratch.save(named.groupBy("same").agg(F.min(rank).alias("best")).select("best.*"), "texts")
+    parts = max(parallelism(spark), -(-texts.count() * tables // 2_000_000))
+
+    def marked(nodes: DataFrame) -> DataFrame:
+        return chunks.join(nodes.groupBy("chunk").agg(F.collect_list("place").alias("places")), "chunk")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = Wide(tables)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                whole = texts_of(batch, i)
+                places = batch.column("places")[i].as_py()
+                for at in range(0, len(places), 1024):
+                    place = places[at : at + 1024]
+                    keys = wide.keys([whole[p] for p in place]).ravel()
+                    least = np.repeat(np.array([_first_shingle(whole[p], size) for p in place], np.uint64), tables)
+                    node = np.repeat(np.array(place, np.int64) | batch.column("chunk")[i].as_py() << 15, tables)
+                    part = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    used, first = np.unique(part[order], return_index=True)
+                    cuts = [[x.tobytes() for x in np.split(v[order], first[1:])] for v in (keys, node, least)]
+                    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in cuts)], names=["part", "keys", "nodes", "least"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys, node, least = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("nodes", np.int64), ("least", np.uint64)))
+        order = np.lexsort((node, least, keys))
+        keys, node, least = keys[order], node[order], least[order]
+        index = np.arange(len(keys))
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        apart = new | np.concatenate(([True], least[1:] != least[:-1]))
+        leaders = [np.maximum.accumulate(np.where(flag, index, 0)) for flag in (new, apart)]
+        pair = np.concatenate([np.stack([node[a], node], axis=1) for a in (*leaders, np.where(new, index, index - 1))])
+        pair = np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0)
+        return pa.table({"u": pa.array(pair.min(axis=1)), "v": pa.array(pair.max(axis=1))})
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                whole = texts_of(batch, i)
+                places = batch.column("places")[i].as_py()
+                sets = [np.unique(np.array(shingle_values(whole[p], size, 1), np.uint64)).view(np.int64) for p in places]
+                node = pa.array([p | batch.column("chunk")[i].as_py() << 15 for p in places], pa.int64())
+                yield pa.RecordBatch.from_arrays([node, pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    needed = ["chunk", "lengths", "data", "places"]
+    keyed = marked(texts).select(*needed).mapInArrow(spread, "part int, keys binary, nodes binary, least binary")
+    pairs = scratch.save(keyed.groupBy("part").applyInArrow(meet, "u long, v long").distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = asked.select(F.shiftright("node", 15).alias("chunk"), F.col("node").bitwiseAND(F.lit(2**15 - 1)).cast("int").alias("place"))
+    sets = scratch.save(marked(asked).select(*needed).mapInArrow(shingles, "node long, set array<bigint>"), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    every = F.size("a") + F.size("b") - shared
+    alike = both.filter((shared >= similarity * every) | (every == 0)).select("u", "v")
+    roots = star_components(scratch.save(alike, "alike"), scratch)
+    node = F.shiftleft("chunk", 15).bitwiseOR(F.col("place").cast("long"))
+    grouped = texts.withColumn("node", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = scratch.save(grouped.groupBy("root").agg(F.min(F.struct("id", "chunk", "place")).alias("best")).select("best.chunk", "best.place"), "kept")
+    schema = chunks.schema["rest"].dataType.elementType.simpleString()
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                whole = texts_of(batch, i)
+                places = sorted(batch.column("places")[i].as_py())
+                other = batch.column("rest")[i].values.take(pa.array(places, pa.int64()))
+                yield pa.RecordBatch.from_arrays([other, pa.array([whole[p] for p in places], pa.string())], names=["rest", "text"])
+
+    left = marked(kept).select(*needed, "rest").mapInArrow(leave, f"rest {schema}, text string")
+    return left.select(*["text" if c == "text" else F.col(f"rest.{c}") for c in docs.columns])

@@ -48,11 +48,11 @@ SHALLOW = 32
 LAST = 2**63 - 1
 
 
-def _pack(data: bytes) -> bytes:
+def pack(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
 
-def _unpack(data: bytes) -> bytes:
+def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
@@ -287,14 +287,18 @@ def repeated_windows(order_key: list[np.ndarray], before: np.ndarray, low: np.nd
 
 # ---- the operator
 
-CHUNKS = "chunk long, ids array<bigint>, lengths binary, data binary, bytes long"
+CHUNKS = "chunk long, ids array<bigint>, lengths binary, data binary, bytes long, rest array<{}>"
 
 
-def _chunked(df: DataFrame, chunk_bytes: int) -> DataFrame:
+def chunked(df: DataFrame, chunk_bytes: int) -> DataFrame:
+    """Rows of whole documents; ``rest`` carries other columns along."""
+    kind = df.schema["rest"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        held: list[tuple[int | None, bytes]] = []
+        held: list[tuple[int | None, bytes, dict]] = []
         size = 0
+        rest_type = None
 
         def flush() -> pa.RecordBatch:
             nonlocal made
@@ -302,23 +306,25 @@ def _chunked(df: DataFrame, chunk_bytes: int) -> DataFrame:
             row = pa.RecordBatch.from_pylist(
                 [
                     {
-                        "chunk": task << 32 | made,
-                        "ids": [i for i, _ in held],
-                        "lengths": np.array([len(t) for _, t in held], np.int64).tobytes(),
-                        "data": _pack(b"".join(t for _, t in held)),
+                        "chunk": task << 20 | made,
+                        "ids": [i for i, _, _ in held],
+                        "lengths": np.array([len(t) for _, t, _ in held], np.int64).tobytes(),
+                        "data": pack(b"".join(t for _, t, _ in held)),
                         "bytes": size,
+                        "rest": [r for _, _, r in held],
                     }
                 ],
-                schema=pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("data", pa.binary()), ("bytes", pa.int64())]),
+                schema=pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("data", pa.binary()), ("bytes", pa.int64()), ("rest", pa.list_(rest_type))]),
             )
             made += 1
             held.clear()
             return row
 
         for batch in batches:
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+            rest_type = batch.schema.field("rest").type
+            for i, text, rest in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("rest").to_pylist(), strict=True):
                 raw = text.as_py() or b""
-                held.append((i, raw))
+                held.append((i, raw, rest))
                 size += len(raw)
                 if size >= chunk_bytes or len(held) >= 20_000:
                     yield flush()
@@ -326,13 +332,13 @@ def _chunked(df: DataFrame, chunk_bytes: int) -> DataFrame:
         if held:
             yield flush()
 
-    return df.mapInArrow(run, CHUNKS)
+    return df.mapInArrow(run, CHUNKS.format(kind))
 
 
 def _load(batch: pa.RecordBatch, width: int) -> Iterator[tuple[dict, Chunk]]:
     for i in range(batch.num_rows):
-        row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-        chunk = Chunk(np.frombuffer(row["lengths"], np.int64), _unpack(row.pop("data")), width)
+        row = {n: batch.column(n)[i].as_py() for n in batch.schema.names if n != "rest"}
+        chunk = Chunk(np.frombuffer(row["lengths"], np.int64), unpack(row.pop("data")), width)
         chunk.anchor()
         yield row, chunk
 
@@ -407,7 +413,7 @@ def _send(marked: DataFrame, width: int) -> DataFrame:
                     f = first[own]
                     head = np.stack([ids[doc[own]], doc[own], chunk.at[f], chunk.at[f] - chunk.first[f], chunk.at[f] - chunk.last[f]])
                     body = b"".join(chunk.raw[a:b] for a, b in zip(chunk.first[f].tolist(), (chunk.last[f] + width).tolist(), strict=True))
-                    rows.append({"part": int(p), "chunk": row["chunk"], "n": len(own), "head": _pack(head.tobytes()), "body": _pack(body)})
+                    rows.append({"part": int(p), "chunk": row["chunk"], "n": len(own), "head": pack(head.tobytes()), "body": pack(body)})
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("head", pa.binary()), ("body", pa.binary())]))
 
     return marked.mapInArrow(run, SENT)
@@ -420,9 +426,9 @@ def _judge(width: int):
     def judge(table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_numpy()
         chunks = np.repeat(table.column("chunk").to_numpy(), sizes)
-        heads = [np.frombuffer(_unpack(x), np.int64).reshape(5, -1) for x in table.column("head").to_pylist()]
+        heads = [np.frombuffer(unpack(x), np.int64).reshape(5, -1) for x in table.column("head").to_pylist()]
         ids, doc, at, before, low = np.concatenate(heads, axis=1)
-        body = np.frombuffer(b"".join(_unpack(x) for x in table.column("body").to_pylist()) + bytes(after_bytes), np.uint8)
+        body = np.frombuffer(b"".join(unpack(x) for x in table.column("body").to_pylist()) + bytes(after_bytes), np.uint8)
         lengths = before - low + width
         anchor = np.cumsum(lengths) - lengths + before
         order_key = [ids, chunks, doc, at]
@@ -444,7 +450,7 @@ def _judge(width: int):
         flags[rest] = repeated_windows([k[rest] for k in order_key], before[rest], low[rest], right[rest], left[rest], width)
         packed = np.packbits(flags, axis=1)
         ends = np.cumsum(sizes)
-        bits = [_pack(packed[e - n : e].tobytes()) for e, n in zip(ends, sizes, strict=True)]
+        bits = [pack(packed[e - n : e].tobytes()) for e, n in zip(ends, sizes, strict=True)]
         return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "bits": pa.array(bits, pa.binary())})
 
     return judge
@@ -467,13 +473,15 @@ def _row_hash(right: np.ndarray, left: np.ndarray, before: np.ndarray, low: np.n
     return h
 
 
-REMOVED = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
+REMOVED = "doc_id long, kept {}, n_bytes long, n_removed long, n_spans long, rest {}"
+
 
+def _remove(marked: DataFrame, width: int, as_text: bool) -> DataFrame:
+    kind = marked.schema["rest"].dataType.elementType.simpleString()
 
-def _remove(marked: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, chunk in _load(batch, width):
+            for at, (row, chunk) in enumerate(_load(batch, width)):
                 delta = np.zeros(len(chunk.data) + 1, np.int64)
                 first, copies, _ = chunk.contexts(_kept(row, chunk))
                 np.add.at(delta, chunk.first[copies], 1)
@@ -482,7 +490,7 @@ def _remove(marked: DataFrame, width: int) -> DataFrame:
                     part = parts_of(chunk.hash[first], row["parts"])
                     for m in row["windows"] or []:
                         own = first[part == m["part"]]
-                        packed = np.frombuffer(_unpack(m["bits"]), np.uint8).reshape(len(own), -1)
+                        packed = np.frombuffer(unpack(m["bits"]), np.uint8).reshape(len(own), -1)
                         which, offset = np.nonzero(np.unpackbits(packed, axis=1, count=width - GRAM + 1))
                         start = chunk.at[own[which]] - offset
                         np.add.at(delta, start, 1)
@@ -497,36 +505,40 @@ def _remove(marked: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array(row["ids"], pa.int64()),
-                        "kept": pa.array(kept, pa.binary()),
+                        "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
                         "n_bytes": pa.array(chunk.lengths),
                         "n_removed": pa.array(removed[b] - removed[a]),
                         "n_spans": pa.array(spans[b] - spans[a]),
+                        "rest": batch.column("rest")[at].values,
                     }
                 )
 
-    return marked.mapInArrow(run, REMOVED)
+    return marked.mapInArrow(run, REMOVED.format("string" if as_text else "binary", kind))
 
 
-def remove_repeats(df: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 2_000_000, part_bytes: int = 24_000_000) -> DataFrame:
-    """doc_id, kept (the remaining bytes), n_bytes, n_removed and n_spans of every row."""
+def remove_repeats(df: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 2_000_000, part_bytes: int = 24_000_000, carried: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, kept (the remaining bytes, or a string of their whole characters), n_bytes, n_removed and n_spans of every row, and the ``carried`` columns."""
     spark = df.sparkSession
     scratch = Scratch(spark, "suffix")
     buckets = parallelism(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rest = F.struct(F.lit(0).alias("none"), *[F.col(c) for c in carried])
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), rest.alias("rest"))
     name = f"chunks_{uuid.uuid4().hex}"
     path = f"{scratch.root}/chunks"
     (
-        _chunked(docs, chunk_bytes).write.bucketBy(buckets, "chunk").option("path", path).option("compression", "none").saveAsTable(name)
+        chunked(docs, chunk_bytes).write.bucketBy(buckets, "chunk").option("path", path).option("compression", "none").saveAsTable(name)
     )
     chunks = spark.table(name)
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     parts = max(buckets, -(-total // part_bytes))
     chunks = chunks.withColumn("parts", F.lit(parts))
-    asked = _ask(chunks, parts, width)
+    plain = chunks.drop("rest", "ids")
+    asked = _ask(plain, parts, width)
     marks = scratch.save(asked.groupBy("part").applyInArrow(_answer, "chunk long, part int, bits binary"), "marks")
-    sent = _send(_marked(chunks, marks, "marks"), width)
+    sent = _send(_marked(chunks.drop("rest"), marks, "marks"), width)
     windows = scratch.save(sent.groupBy("part").applyInArrow(_judge(width), "chunk long, part int, bits binary"), "windows")
-    return _remove(_marked(_marked(chunks, marks, "marks"), windows, "windows"), width)
+    removed = _remove(_marked(_marked(chunks, marks, "marks"), windows, "windows"), width, as_text)
+    return removed.select("doc_id", "kept", "n_bytes", "n_removed", "n_spans", *[F.col(f"rest.{c}") for c in carried])
 
 
 def digest(removed: DataFrame) -> DataFrame:
