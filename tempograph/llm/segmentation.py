@@ -41,7 +41,8 @@ from .common import by_bytes
 
 BLANK = "▁"
 REACH = 23.0
-HEAD = 96  # units of a text that are searched first
+SHORT = 256  # characters of a unit whose weights are multiplied as they are
+HEAD = 40  # units of a text that are searched first
 WIDE = 1 << 17  # ids from here on stand for a character in byte pieces
 
 
@@ -50,6 +51,7 @@ class Pieces:
     """Hashes of all pieces by length, weights, and what each id decodes to."""
 
     hashes: np.ndarray
+    beginnings: np.ndarray
     ids: np.ndarray
     weights: np.ndarray
     bytes_first: int
@@ -77,9 +79,22 @@ class Pieces:
                     found.append(i)
         for rank, i in enumerate(found):
             weights[i] = -alpha * math.log(2 + rank)
+        unseen = -alpha * math.log(2 + len(found))
+        weights[first : first + 256] = unseen
         hashes = np.array([hash_of(names[i]) for i in found], np.uint64)
+        begun = np.array([hash_of(b) for b in {names[i][:n] for i in found for n in range(1, len(names[i]))}], np.uint64)
         order = np.argsort(hashes)
-        return cls(hashes[order], np.array(found)[order], weights, first, -alpha * math.log(2 + len(found)), max(len(names[i]) for i in found), texts)
+        return cls(hashes[order], begun, np.array(found)[order], weights, first, unseen, max(len(names[i]) for i in found), texts)
+
+
+    def weight_of(self, piece: np.ndarray) -> np.ndarray:
+        """Weights of ids, and of characters that stand for several bytes."""
+        out = self.weights[np.minimum(piece, len(self.weights) - 1)]
+        wide = np.flatnonzero(piece >= WIDE)
+        if len(wide):
+            code = piece[wide] - WIDE
+            out[wide] = self.byte_weight * (2 + (code >= 0x800) + (code >= 0x10000))
+        return out
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -106,7 +121,7 @@ class Lattice:
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         n = len(code)
-        unit_end = np.repeat(self.ends, sizes)
+        unit_end = np.repeat(self.ends.astype(np.int32) if n < 2**31 else self.ends, sizes)
         # the piece from each place of each length, in a table whose cells lie in the order of edges
         made = np.zeros((n, pieces.longest), np.int32)
         h = np.zeros(n, np.uint64)
@@ -117,44 +132,52 @@ class Lattice:
                 break
             step = h[live] * _BASE + code[live + length - 1] + np.uint64(1)
             h[live] = step
-            maybe = np.flatnonzero(seen[_slot(step)])
-            step = step[maybe]
-            where = np.minimum(np.searchsorted(pieces.hashes, step), len(pieces.hashes) - 1)
-            real = pieces.hashes[where] == step
+            kind = seen[_slot(step)]
+            maybe = np.flatnonzero(kind & 1)
+            part = step[maybe]
+            where = np.minimum(np.searchsorted(pieces.hashes, part), len(pieces.hashes) - 1)
+            real = pieces.hashes[where] == part
             made[live[maybe[real]], length - 1] = pieces.ids[where[real]]
+            # only where a longer piece begins like this
+            live = live[kind > 1]
         lone = np.flatnonzero(made[:, 0] == 0)
         value = code[lone].astype(np.int32)
         made[lone, 0] = np.where(value < 128, pieces.bytes_first + value, WIDE + value)
         cell = np.flatnonzero(made)
-        begin = cell // pieces.longest
-        finish = cell - begin * (pieces.longest - 1) + 1
         piece = made.ravel()[cell]
+        cell = cell.astype(np.int32) if cell[-1] < 2**31 else cell
+        begin = cell // cell.dtype.type(pieces.longest)
+        finish = cell - begin * cell.dtype.type(pieces.longest - 1) + cell.dtype.type(1)
         del made, h
-        many = np.where(piece < WIDE, 1, 2 + (piece >= WIDE + 0x800) + (piece >= WIDE + 0x10000))
-        weight = np.where(many > 1, many * pieces.byte_weight, pieces.weights[np.minimum(piece, len(pieces.weights) - 1)])
-        weight = np.where((many == 1) & (piece >= pieces.bytes_first) & (piece < pieces.bytes_first + 256), pieces.byte_weight, weight)
+        weight = pieces.weight_of(piece)
         # backward sums, from each unit's end, all units at once
         distance = unit_end[begin] - begin
-        self.begin, self.finish, self.piece = begin, finish, piece
         inside = finish < unit_end[begin]
-        by = np.argsort(distance.astype(np.int16) if distance.max() < 2**15 else distance, kind="stable")
-        begin, finish, heavy, within = self.begin[by], self.finish[by], weight[by], inside[by]
-        back = np.zeros(n + 1)
-        new = np.flatnonzero(np.concatenate(([True], begin[1:] != begin[:-1])))
-        farthest = distance[by]
-        bounds = np.searchsorted(farthest[new], np.arange(1, int(farthest[-1]) + 2))
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if lo == hi:
-                continue
-            a, z = new[lo], new[hi] if hi < len(new) else len(begin)
-            total = heavy[a:z] + np.where(within[a:z], back[finish[a:z]], 0.0)
-            starts = new[lo:hi] - a
-            most = np.maximum.reduceat(total, starts)
-            total = np.exp(total - np.repeat(most, np.diff(np.append(starts, z - a))))
-            back[begin[new[lo:hi]]] = most + np.log(np.add.reduceat(total, starts))
-        self.log_p = weight + np.where(inside, back[self.finish], 0.0) - back[self.begin]
+        self.begin, self.finish, self.piece, self.weight = begin, finish, piece, weight
+        by = np.argsort(distance.astype(np.int16) if sizes.max() < 2**15 else distance, kind="stable")
+        new = np.flatnonzero(np.concatenate(([True], np.diff(begin[by]) != 0)))
+        farthest = distance[by[new]]
+        bounds = np.searchsorted(farthest, np.arange(1, int(farthest[-1]) + 2))
+        places = begin[by[new]]
+        spans = [(lo, hi, new[lo], new[hi] if hi < len(new) else len(by)) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if lo < hi]
+        onward, within = finish[by], inside[by]
+        if sizes.max() <= SHORT:  # no product of weights can underflow
+            heavy = np.exp(weight)
+            sums = np.ones(n + 1)
+            moved = heavy[by]
+            for lo, hi, x, y in spans:
+                sums[places[lo:hi]] = np.add.reduceat(moved[x:y] * np.where(within[x:y], sums[onward[x:y]], 1.0), new[lo:hi] - x)
+            share = heavy * np.where(inside, sums[finish], 1.0) / sums[begin]
+            self.back = np.log(sums)
+        else:
+            back = np.zeros(n + 1)
+            moved = weight[by]
+            for lo, hi, x, y in spans:
+                back[places[lo:hi]] = np.logaddexp.reduceat(moved[x:y] + np.where(within[x:y], back[onward[x:y]], 0.0), new[lo:hi] - x)
+            share = np.exp(weight + np.where(inside, back[finish], 0.0) - back[begin])
+            self.back = back
+        self.inside = inside
         self.first = np.searchsorted(self.begin, np.arange(n + 1))
-        share = np.exp(self.log_p)
         total = np.cumsum(share)
         last = self.first[1:] - 1
         before = np.concatenate(([0.0], total[last]))[self.begin] if n else total
@@ -173,8 +196,9 @@ class Lattice:
         back = np.repeat(place - np.arange(len(place)), many)
         spans = dict(zip(types.tolist(), zip((stop - sizes).tolist(), stop.tolist(), strict=True), strict=True))
         fraction = self.keys[edge] - self.begin[edge]
+        log_p = self.weight[edge] + np.where(self.inside[edge], self.back[self.finish[edge]], 0.0) - self.back[self.begin[edge]]
         upto = np.concatenate(([0], np.cumsum(many)))
-        edges = (upto.tolist(), (self.finish[edge] - back).tolist(), self.piece[edge].tolist(), self.log_p[edge].tolist(), fraction.tolist())
+        edges = (upto.tolist(), (self.finish[edge] - back).tolist(), self.piece[edge].tolist(), log_p.tolist(), fraction.tolist())
         return spans, place.tolist(), edges
 
 
@@ -260,7 +284,8 @@ def drawn(lattice: Lattice, types: np.ndarray, start: np.ndarray, state: np.ndar
     """Pieces of each unit from its start on (flat), how many each has, and their log probability."""
     n = len(types)
     at, end = start.copy(), lattice.ends[types]
-    count, mass = np.zeros(n, np.int64), np.zeros(n)
+    # inside a unit the conditional probabilities telescope to the pieces' weights over the sum at its start
+    count, mass = np.zeros(n, np.int64), np.where(at < end, -lattice.back[at], 0.0)
     live = np.argsort(start, kind="stable")  # equal units side by side, so that lookups stay near each other
     live = live[at[live] < end[live]]
     steps = []
@@ -270,7 +295,7 @@ def drawn(lattice: Lattice, types: np.ndarray, start: np.ndarray, state: np.ndar
         edge = np.searchsorted(lattice.keys, at[live] + u, side="right")
         edge = np.minimum(edge, lattice.first[at[live] + 1] - 1)
         steps.append((live, lattice.piece[edge]))
-        mass[live] += lattice.log_p[edge]
+        mass[live] += lattice.weight[edge]
         at[live] = lattice.finish[edge]
         count[live] += 1
         live = live[at[live] < end[live]]
@@ -371,15 +396,17 @@ def _included(over: float) -> float:
 
 
 def _seen(pieces: Pieces) -> np.ndarray:
-    seen = np.zeros(1 << 21, bool)
-    seen[_slot(pieces.hashes)] = True
+    """By hash: 1 where a piece may be, 2 where a longer piece may begin."""
+    seen = np.zeros(1 << 21, np.uint8)
+    seen[_slot(pieces.beginnings)] = 2
+    seen[_slot(pieces.hashes)] |= 1
     return seen
 
 
 SAMPLES = "sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids binary"
 
 
-def sample_segmentations(df: DataFrame, model_path: str, k: int = 2, alpha: float = 0.2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 3_000_000) -> DataFrame:
+def sample_segmentations(df: DataFrame, model_path: str, k: int = 2, alpha: float = 0.2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2_500_000) -> DataFrame:
     """One row per sample: id, sample (from 0, best first), n_pieces, log_prob, perturbed, log_inclusion, ids.
 
     ``ids`` holds the piece ids as little-endian 16-bit numbers.  The model is
