@@ -85,19 +85,23 @@ def pagerank(links: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
 
 
 def label_propagation(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, label): each node takes its neighbours' most frequent label, ties to the least; synchronous, keeping its own on a tie with it."""
+    """(node, label): each node takes its neighbours' most frequent label, ties to the least, its own if that is among them.
+
+    Nodes take turns by the parity of their hash, as neighbours that change at
+    once can swap labels for ever.
+    """
     labels = kept(links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(rounds):
-        votes = links.join(labels, links.dst == labels.node).groupBy("src", "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy("src").agg(F.max(F.struct("n", F.struct(F.lit(0)).alias("_"))).getField("n").alias("most"))
+    still = 0
+    for k in range(rounds):
+        turn = links.filter(F.pmod(F.xxhash64("src"), F.lit(2)) == k % 2)
+        votes = turn.join(labels, turn.dst == labels.node).groupBy("src", "label").agg(F.count("*").alias("n"))
+        best = votes.groupBy("src").agg(F.max("n").alias("most"))
         top = votes.join(best, "src").filter("n = most").groupBy("src").agg(F.min("label").alias("least"), F.collect_set("label").alias("tied"))
-        following = labels.join(top, labels.node == top.src).select(
-            "node", F.when(F.array_contains("tied", F.col("label")), F.col("label")).otherwise(F.col("least")).alias("label"), F.col("label").alias("old")
-        )
-        following = kept(following)
-        changed = following.filter("label <> old").limit(1).count()
+        taken = F.when(F.col("least").isNull() | F.array_contains("tied", F.col("label")), F.col("label")).otherwise(F.col("least"))
+        following = kept(labels.join(top, labels.node == top.src, "left").select("node", taken.alias("label"), F.col("label").alias("old")))
+        still = 0 if following.filter("label <> old").limit(1).count() else still + 1
         labels = following.select("node", "label")
-        if not changed:
+        if still == 2:
             break
     return labels
 

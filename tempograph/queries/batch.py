@@ -206,7 +206,7 @@ QUERIES = {
     "classify_pair_ladder": (classify_pair_ladder, with_sql(VECTORS_SQL, PAIRS, body=f"SELECT a, b, CASE WHEN score >= {MERGE} AND ta = tb THEN CASE WHEN (a + b) % 3 <> 0 THEN 'Merge' ELSE 'PotentialAlias' END WHEN score >= {ALIAS} AND ta = tb THEN 'PotentialAlias' ELSE 'New' END AS decision FROM pairs")),
     "write_gate_table": (write_gate_table, "WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) SELECT event_id, CASE WHEN k % 7 = 0 THEN 'Reject' WHEN k % 5 = 0 THEN CASE WHEN k % 2 = 0 THEN 'Merge' ELSE 'PotentialAlias' END WHEN k % 5 <= 1 THEN 'Reject' WHEN k / 100.0 < 0.7 THEN 'PotentialAlias' ELSE 'Merge' END AS decision FROM e"),
     "alias_resolution": (alias_resolution, with_sql(VECTORS_SQL, PAIRS, body=f"SELECT a, b, CASE WHEN score >= {MERGE} AND (a + b) % 2 = 0 THEN 'resolved' WHEN score >= {MERGE} OR score < {ALIAS} THEN 'revoked' ELSE 'kept' END AS outcome FROM pairs")),
-    "blocking_candidates": (blocking_candidates, with_sql(VECTORS_SQL, PAIRS, "u AS (SELECT a AS id, b AS other_id, score FROM pairs UNION ALL SELECT b, a, score FROM pairs)", body="SELECT id, other_id, CAST(row_number() OVER w AS BIGINT) AS rank FROM u QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY id ORDER BY score DESC, other_id)")),
+    "blocking_candidates": (blocking_candidates, with_sql(VECTORS_SQL, PAIRS, "u AS (SELECT a AS id, b AS other_id, score FROM pairs UNION ALL SELECT b, a, score FROM pairs)", body="SELECT id, other_id, CAST(row_number() OVER w AS BIGINT) AS rank FROM u WINDOW w AS (PARTITION BY id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 3")),
     "name_match_pairs": (name_match_pairs, with_sql(NAMES_SQL, NAME_PAIRS, body="SELECT a, b FROM np")),
     "canonicalize_keeper": (canonicalize_keeper, with_sql(NAMES_SQL, NAME_PAIRS, body="SELECT a, b, CASE WHEN length(y.name) > length(x.name) THEN b ELSE a END AS keeper FROM np JOIN names x ON x.id = a JOIN names y ON y.id = b")),
     "corroboration_weight": (corroboration_weight, with_sql(EDGES_SQL, "f AS (SELECT subject_id, count(DISTINCT object_id) AS frequency FROM edges GROUP BY subject_id)", body="SELECT subject_id, frequency, CAST(CASE WHEN frequency <= 8 THEN round(1048576.0 / (1 + log2(frequency))) ELSE 0 END AS BIGINT) AS weight FROM f")),
