@@ -100,7 +100,11 @@ class Index:
         wide = self.edits[item] + 1
         band = (np.repeat(at, times) - self.place[hit] + 4096 * 1024) // wide
         key = item * np.int64(1 << 40) + band
-        key.sort()
+        # a place of the item counts once in a band, however often the text repeats it
+        order = np.lexsort((self.place[hit], key))
+        key, place = key[order], self.place[hit][order]
+        once = np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1]))) if len(key) else np.zeros(0, bool)
+        key = key[once]
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         key, count = key[new], np.diff(np.append(new, len(key)))
         both = count.copy()
@@ -138,32 +142,40 @@ def place_of(item: bytes, region: bytes, offset: int, low: int, high: int, most:
     if most == 0:
         return None
     far = 1 << 20
-    text = np.frombuffer(region, np.uint8)
     wide = high - low + 2
+    # the region with the positions before and after it that the band touches, which match nothing
+    text = np.full(wide + len(item) + 1, 256, np.int16)
+    first = offset - low
+    begin, end = max(0, first), min(len(text), first + len(region))
+    text[begin:end] = np.frombuffer(region, np.uint8)[begin - first : end - first]
     steps = np.arange(wide)
     # cell (j, d): j bytes of the item aligned, text position low + d + j
-    position = low + steps - offset
-    cost = np.where((position >= 0) & (position <= len(text)), 0, far)
-    origin = position.copy()
+    cost = np.where((steps >= first) & (steps <= first + len(region)), 0, far)
+    skip = np.full(wide, far)
+    rows = [cost]
     for j, byte in enumerate(item):
-        here = position + j
-        inside = (here >= 0) & (here < len(text))
-        same = np.zeros(wide, bool)
-        same[inside] = text[here[inside]] == byte
-        through = np.where(inside, cost + ~same, far)
-        skip = np.append(cost[1:] + 1, far)
-        origin = np.where(through <= skip, origin, np.append(origin[1:], 0))
-        cost = np.minimum(through, skip)
-        # a byte of the text that the item lacks
-        run = np.minimum.accumulate(cost - steps)
-        lead = np.maximum.accumulate(np.where(cost - steps == run, steps, 0))
-        origin, cost = origin[lead], run + steps
-        ok = (here + 1 >= 0) & (here + 1 <= len(text))
-        cost = np.where(ok, cost, far)
+        np.add(cost[1:], 1, out=skip[:-1])
+        through = cost + (text[j : j + wide] != byte)
+        # the last: bytes of the text that the item lacks
+        cost = np.minimum.accumulate(np.minimum(through, skip) - steps) + steps
+        cost[max(0, first + len(region) - j) :] = far
+        if first - j - 1 > 0:
+            cost[: first - j - 1] = far
         if cost.min() > most:
             return None
-    d = int(cost.argmin())
-    return int(cost[d]), offset + int(origin[d]), low + d + len(item)
+        rows.append(cost)
+    d = last = int(cost.argmin())
+    edits = int(cost[d])
+    for j in range(len(item), 0, -1):  # back to where the item begins
+        while True:
+            now = rows[j][d]
+            if now == rows[j - 1][d] + (text[j - 1 + d] != item[j - 1]):
+                break
+            if d + 1 < wide and now == rows[j - 1][d + 1] + 1:
+                d += 1
+                break
+            d -= 1
+    return edits, low + d, low + last + len(item)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_bytes: int = 4_000_000, batch_bytes: int = 1_000_000) -> DataFrame:
