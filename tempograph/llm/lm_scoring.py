@@ -200,6 +200,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
 
 
 def _grouped(index: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    if not len(index):
+        return []
     order = np.argsort(index, kind="stable")
     used, first = np.unique(index[order], return_index=True)
     return list(zip(used.tolist(), np.split(order, first[1:]), strict=True))
