@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+KINDS = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "timestamp_ntz": T.TimestampNTZType(), "array<float>": T.ArrayType(T.FloatType()),
+}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (f.split() for f in text.split(","))])
 
 
 ENTITIES = _struct("id string, group_id string, properties string, embedding array<float>, recorded_at timestamp_ntz, updated_at timestamp_ntz, access_count bigint, entity_type_id int, entity_type_source string, ner_confidence double, is_dream_generated boolean")
