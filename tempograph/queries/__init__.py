@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def everything() -> dict[str, tuple[Query, str | None]]:
-    from . import batch, graphs, metrics, recall, scalar, tables, times
+    from . import batch, graphs, metrics, more, recall, scalar, tables, times
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (tables, times, scalar, recall, graphs, batch, metrics):
+    for module in (tables, times, scalar, recall, graphs, batch, metrics, more):
         found |= module.QUERIES
     return found
