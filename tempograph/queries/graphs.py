@@ -49,11 +49,8 @@ def cooccurrence_pairs(spark, sf):
 
 
 def shared_neighbours(spark, sf):
-    per = raw(spark, sf, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("subject_id"), F.concat(F.lit("n:"), F.col("c_nationkey").cast("string")).alias("object_id"))
-    x = graph.undirected(per).filter("src like 'n:%'")
-    y = edges(spark, sf).select("subject_id", "object_id")
-    both = graph.undirected(y).filter("src like 's:%'").union(x.filter("false"))
-    return graph.shared_neighbours(both)
+    """Suppliers by the parts that both supply."""
+    return graph.shared_neighbours(graph.undirected(edges(spark, sf)).filter("src like 's:%'"))
 
 
 def connected_components(spark, sf):
