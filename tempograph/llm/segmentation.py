@@ -406,7 +406,7 @@ def _seen(pieces: Pieces) -> np.ndarray:
 SAMPLES = "sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids binary"
 
 
-def sample_segmentations(df: DataFrame, model_path: str, k: int = 2, alpha: float = 0.2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2_500_000) -> DataFrame:
+def sample_segmentations(df: DataFrame, model_path: str, k: int = 2, alpha: float = 0.2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1_250_000) -> DataFrame:
     """One row per sample: id, sample (from 0, best first), n_pieces, log_prob, perturbed, log_inclusion, ids.
 
     ``ids`` holds the piece ids as little-endian 16-bit numbers.  The model is

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, parallelism
+from .common import Scratch, give_back, parallelism
 
 GRAM = 24
 SHALLOW = 32
@@ -341,6 +341,7 @@ def _load(batch: pa.RecordBatch, width: int) -> Iterator[tuple[dict, Chunk]]:
         chunk = Chunk(np.frombuffer(row["lengths"], np.int64), unpack(row.pop("data")), width)
         chunk.anchor()
         yield row, chunk
+    give_back()
 
 
 def _kept(row: dict, chunk: Chunk) -> np.ndarray:
