@@ -27,6 +27,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -215,7 +216,7 @@ def _count(chunks: DataFrame, parts: int) -> DataFrame:
         for c in _chunks(batches):
             known = np.flatnonzero(c.seen > 0)
             rows = [
-                {"part": p, "words": _pack(b"\n".join([c.words[i] for i in known[own].tolist()])), "counts": _pack(c.seen[known[own]].tobytes())}
+                {"part": p, "words": _pack(b"\n".join([c.words[i] for i in known[own].tolist()])), "counts": _pack(c.seen[known[own]].astype(np.int64).tobytes())}
                 for p, own in _grouped(c.parts(parts)[known])
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())]))
@@ -230,17 +231,37 @@ def _merged_words(blobs: list[bytes]) -> tuple[pa.Array, np.ndarray, list[int]]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), [len(x) for x in lists]
 
 
+TOP = "part int, words binary, counts binary"
+
+
 def _frequent(core: int):
+    """The most frequent words of the lists of a group, as one list."""
+
     def top(table: pa.Table) -> pa.Table:
         words, which, _ = _merged_words(table.column("words").to_pylist())
-        counts = np.concatenate([_numbers(b, np.int32) for b in table.column("counts").to_pylist()])
+        counts = np.concatenate([_numbers(b, np.int64) for b in table.column("counts").to_pylist()])
         total = np.bincount(which, counts, len(words)).astype(np.int64)
-        first = np.argsort(-total, kind="stable")[:core]
-        return pa.table({"word": words.take(pa.array(first)), "n": pa.array(total[first])})
+        listed = words.to_pylist()
+        first = sorted(range(len(listed)), key=lambda i: (-total[i], listed[i]))[:core]
+        row = {"part": table.column("part")[0].as_py(), "words": _pack(b"\n".join([listed[i] for i in first])), "counts": _pack(total[first].tobytes())}
+        return pa.Table.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())]))
 
     return top
 
 
+def _core(counted: DataFrame, parts: int, core: int) -> list[bytes]:
+    """The ``core`` most frequent words: one list per part, then per some parts, then here."""
+    top = _frequent(core)
+    groups = math.isqrt(parts) + 1
+    lists = counted.groupBy("part").applyInArrow(top, TOP)
+    lists = lists.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("part").applyInArrow(top, TOP).collect()
+    if not lists:
+        return []
+    table = pa.Table.from_pylist([{"part": 0, "words": bytes(r["words"]), "counts": bytes(r["counts"])} for r in lists])
+    joined = _unpack(top(table).column("words")[0].as_py())
+    return joined.split(b"\n") if joined else []
+
+
 # ---- class counts
 
 
@@ -361,6 +382,17 @@ def _assign(core: dict[bytes, int], pull: np.ndarray, classes: int):
     return assign
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classes' sums of many parts, added up."""
+    total = None
+    for batch in batches:
+        for raw in batch.column("counts").to_pylist():
+            own = np.frombuffer(raw, np.int64)
+            total = own if total is None else total + own
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["cell", "n"])
+
+
 def _known(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Count and class of each word of a chunk's dictionary."""
     counts, classes = np.zeros(len(c.words), np.int64), np.full(len(c.words), -1, np.int64)
@@ -454,8 +486,7 @@ def score(df: DataFrame, classes: int = 64, core: int = 2048, sweeps: int = 8, f
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     parts = max(parallelism(spark), -(-total // part_bytes))
     chunks = chunks.withColumn("parts", F.lit(parts))
-    top = _count(chunks, parts).groupBy("part").applyInArrow(_frequent(core), "word binary, n long")
-    frequent = [bytes(r["word"]) for r in top.orderBy(F.col("n").desc(), "word").limit(core).collect()]
+    frequent = _core(_count(chunks, parts), parts, core)
     pairs = _bigrams(chunks, frequent)
     where = exchange(pairs, classes, 2, sweeps)
     named = dict(zip(frequent, where[: len(frequent)].tolist(), strict=True))
@@ -468,8 +499,8 @@ def score(df: DataFrame, classes: int = 64, core: int = 2048, sweeps: int = 8, f
     sent = _beside(chunks, named, classes, parts)
     marks = scratch.save(sent.groupBy("part").applyInArrow(_assign(named, pull, classes), "chunk long, part int, counts binary, classes binary"), "marks")
     sums = np.zeros(4 * classes, np.int64)
-    for r in marks.filter("chunk = -1").select("counts").toLocalIterator():
-        sums += np.frombuffer(bytes(r["counts"]), np.int64)
+    for r in marks.filter("chunk = -1").select("counts").mapInArrow(_summed, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        sums[r["cell"]] = r["n"]
     gathered = marks.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "classes")).alias("marks"))
     marked = chunks.join(gathered, "chunk", "left")
     model = Model(_transitions(marked, classes), *sums.reshape(4, classes), texts)
