@@ -333,10 +333,10 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, tabl
     are one node.  Near copies differ in more bits than one fingerprint's code
     words forgive, so ``tables`` fingerprints of the distinct words are taken,
     each giving one key, the codeword indices of its three segments.  Rows of
-    equal key are paired with the first of their key, with the first that has
-    the same least shingle, and with the one before in that order: at most
-    three pairs per row and key, whatever the size of the group.  Every pair is
-    verified on the shingles themselves.  Two texts without words are alike,
+    equal key and equal least shingle are paired with the first of them, and
+    those first ones with the first of their key: one pair per row and key,
+    whatever the size of the group.  Every pair is verified on the shingles
+    themselves.  Two texts without words are alike,
     and like no other.
 
     Texts are packed into chunks bucketed by chunk, so nothing but keys, pairs
@@ -394,8 +394,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, tabl
         index = np.arange(len(keys))
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
         apart = new | np.concatenate(([True], least[1:] != least[:-1]))
-        leaders = [np.maximum.accumulate(np.where(flag, index, 0)) for flag in (new, apart)]
-        pair = np.concatenate([np.stack([node[a], node], axis=1) for a in (*leaders, np.where(new, index, index - 1))])
+        of_key, of_least = (np.maximum.accumulate(np.where(flag, index, 0)) for flag in (new, apart))
+        pair = np.stack([node[np.where(apart, of_key, of_least)], node], axis=1)
         pair = np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0)
         return pa.table({"u": pa.array(pair.min(axis=1)), "v": pa.array(pair.max(axis=1))})
 
