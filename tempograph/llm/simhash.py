@@ -24,6 +24,7 @@ a component unless it has no other.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -295,49 +296,102 @@ def near_groups(df: DataFrame, size: int = 4, most: int = 4, id_col: str = "doc_
 
 # ---- copies alike in their shingles
 
+SMALL = 16
+SLACK = 1e-9
+BITS = 2048
 
-class Wide:
-    """Many SimHashes of a text's distinct words at once.
-
-    Words are counted, signed, in ``dims`` cells by their hash; each bit is the
-    sign of a random combination of the cells.  64 bits less one make a table's
-    three segments.
-    """
-
-    def __init__(self, tables: int = 96, dims: int = 1024, seed: int = 5):
-        self.tables, self.dims = tables, dims
-        self.plan = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (dims, tables * 63))
-
-    def keys(self, texts: list[str]) -> np.ndarray:
-        """One key per text and table: the codeword indices of the table's segments."""
-        cells = np.zeros((len(texts), self.dims), np.float32)
-        for i, text in enumerate(texts):
-            own = np.fromiter((xxhash.xxh64_intdigest(w) for w in set(text.encode("utf-8", "replace").lower().split())), np.uint64)
-            np.add.at(cells[i], (own >> np.uint64(8)) % np.uint64(self.dims), np.where(own & np.uint64(1), np.float32(1), np.float32(-1)))
-        bits = (cells @ self.plan > 0).reshape(len(texts), self.tables, 3, 21)
-        words = (bits * (1 << np.arange(21))).sum(axis=3)
-        index = decode(words)
-        keys = index[:, :, 0] << 24 | index[:, :, 1] << 12 | index[:, :, 2] | np.arange(self.tables) << 40
-        return _mixed(keys)
 
+def shingle_set(text: str, size: int) -> np.ndarray:
+    return np.unique(np.array(shingle_values(text, size, 1), np.uint64))
 
-def _first_shingle(text: str, size: int) -> int:
-    return min(shingle_values(text, size, 1), default=0)
 
+def prefix(own: np.ndarray, listed: np.ndarray, weight: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets alike to ``similarity`` have one of them in common.
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, tables: int = 96) -> DataFrame:
+    ``listed`` holds frequent shingles, sorted, with their weights; any other
+    weighs nothing.  The order is the same for all sets, and that is all that
+    the result rests on: the list may come from a sample.  No words: one zero.
+    """
+    if not len(own):
+        return np.zeros(1, np.uint64)
+    if len(listed):
+        at = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
+        own = own[np.lexsort((own, np.where(listed[at] == own, weight[at], 0)))]
+    return own[: len(own) - math.ceil(similarity * len(own) - SLACK) + 1]
+
+
+def may_be_alike(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, similarity: float) -> np.ndarray:
+    """False where sets of n and m shingles whose first common one has these places in order cannot be alike."""
+    most = np.minimum(n - at, m - to)
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - SLACK) & (most >= similarity / (1 + similarity) * (n + m) - SLACK)
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    """For each of ``BITS`` cells, whether an odd number of shingles falls into it; two sets differ in as many shingles as cells, or more."""
+    odd = np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
+def small_pairs(keys: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of equal key that may be alike; no key has more than ``SMALL`` rows, and rows are sorted by key."""
+    found = [np.zeros((0, 2), np.int64)]
+    for step in range(1, min(SMALL, len(keys))):
+        at = np.flatnonzero(keys[step:] == keys[:-step])
+        at = at[may_be_alike(n[at], place[at], n[at + step], place[at + step], similarity)]
+        found.append(np.stack([node[at], node[at + step]], axis=1))
+    return np.concatenate(found)
+
+
+def _blocks(n: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one key's rows, sorted by n, that may be alike, a block at a time."""
+    for a in range(0, len(n), 256):
+        own = slice(a, min(len(n), a + 256))
+        end = int(np.searchsorted(n, n[own][-1] / similarity + 1, side="right"))
+        for b in range(a, end, 8192):
+            to = slice(b, min(end, b + 8192))
+            i, j = np.nonzero(may_be_alike(n[own, None], place[own, None], n[None, to], place[None, to], similarity))
+            i, j = i + a, j + b
+            yield i[i < j], j[i < j]
+
+
+def large_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, similarity: float, most: int | None) -> np.ndarray:
+    """Pairs of one key's rows, sorted by n, that are not yet connected and may be alike: all, or the ``most`` nearest ones of each row."""
+    found = [np.zeros((0, 2), np.int64)]
+    for i, j in _blocks(n, place, similarity):
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        for at in range(0, len(i), 200_000):
+            a, b = i[at : at + 200_000], j[at : at + 200_000]
+            far = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero(far <= (1 - similarity) / (1 + similarity) * (n[a] + n[b]) + SLACK)
+            a, b, far = a[near], b[near], far[near]
+            if most:
+                order = np.lexsort((far, a))
+                a, b = a[order], b[order]
+                first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else a
+                nth = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+                a, b = a[nth < most], b[nth < most]
+            found.append(np.stack([node[a], node[b]], axis=1))
+    return np.concatenate(found)
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies, with all its columns: the one of least id (of equal rows, one).
 
     Near copies have a Jaccard similarity of their word shingles of
     ``similarity`` or more; groups are what such links connect.  Equal texts
-    are one node.  Near copies differ in more bits than one fingerprint's code
-    words forgive, so ``tables`` fingerprints of the distinct words are taken,
-    each giving one key, the codeword indices of its three segments.  Rows of
-    equal key and equal least shingle are paired with the first of them, and
-    those first ones with the first of their key: one pair per row and key,
-    whatever the size of the group.  Every pair is verified on the shingles
-    themselves.  Two texts without words are alike,
-    and like no other.
+    are one node.  Two texts without words are alike, and like no other.
+
+    Candidates come from two sources, and every pair is verified on the
+    shingles themselves.  The SimHash of the shingles by ``links`` brings the
+    closest together, whatever the size of their group.  The prefix filter
+    misses none: two sets alike to ``similarity`` have one of their rarest
+    n - ceil(similarity * n) + 1 shingles in common, at places that leave room
+    for the rest.  Shingles of up to ``SMALL`` texts give all pairs at once.
+    Those of more texts give pairs that are not connected by then and whose
+    parities differ no more than alike sets can: first a few of each text, then
+    all that are left.  So a group of copies never makes all its pairs, and a
+    passage that many texts share only those near the bound.
 
     Texts are packed into chunks bucketed by chunk, so nothing but keys, pairs
     and the shingles of paired texts is shuffled.
@@ -365,60 +419,156 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, tabl
     named = chunks.select("chunk", "ids", "lengths", "data").mapInArrow(name, "chunk long, place int, id long, same binary")
     rank = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), "chunk", "place")
     texts = scratch.save(named.groupBy("same").agg(F.min(rank).alias("best")).select("best.*"), "texts")
-    parts = max(parallelism(spark), -(-texts.count() * tables // 2_000_000))
+    needed = ["chunk", "lengths", "data", "places"]
 
     def marked(nodes: DataFrame) -> DataFrame:
         return chunks.join(nodes.groupBy("chunk").agg(F.collect_list("place").alias("places")), "chunk")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = Wide(tables)
+    def marked_nodes(nodes: DataFrame) -> DataFrame:
+        where = nodes.select(F.shiftright("node", 15).alias("chunk"), F.col("node").bitwiseAND(F.lit(2**15 - 1)).cast("int").alias("place"))
+        return marked(where).select(*needed)
+
+    def placed(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[tuple[np.ndarray, list[str]]]:
         for batch in batches:
             for i in range(batch.num_rows):
                 whole = texts_of(batch, i)
                 places = batch.column("places")[i].as_py()
-                for at in range(0, len(places), 1024):
-                    place = places[at : at + 1024]
-                    keys = wide.keys([whole[p] for p in place]).ravel()
-                    least = np.repeat(np.array([_first_shingle(whole[p], size) for p in place], np.uint64), tables)
-                    node = np.repeat(np.array(place, np.int64) | batch.column("chunk")[i].as_py() << 15, tables)
-                    part = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-                    order = np.argsort(part, kind="stable")
-                    used, first = np.unique(part[order], return_index=True)
-                    cuts = [[x.tobytes() for x in np.split(v[order], first[1:])] for v in (keys, node, least)]
-                    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in cuts)], names=["part", "keys", "nodes", "least"])
+                for at in range(0, len(places), most):
+                    place = places[at : at + most]
+                    yield np.array(place, np.int64) | batch.column("chunk")[i].as_py() << 15, [whole[p] for p in place]
+
+    # ---- shingles that many texts have, from a bounded number of chunks; they order the shingles and decide nothing
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in placed(batches, 4096):
+            value, count = np.unique(np.concatenate([shingle_set(t, size) for t in own]), return_counts=True)
+            top = np.flatnonzero(count > 2)
+            yield pa.RecordBatch.from_arrays([pa.array(value[top].view(np.int64)), pa.array(count[top])], names=["shingle", "n"])
+
+    counted = chunks.select("chunk").agg(F.count("*")).first()[0]
+    sample = texts.filter(F.pmod(F.xxhash64("chunk"), F.lit(max(1, counted // 48))) == 0)
+    seen = marked(sample).select(*needed).mapInArrow(often, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = seen.orderBy(F.desc("n"), "shingle").limit(100_000).toArrow()
+    listed = top.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(listed)
+    listed, weight = listed[order], top.column("n").to_numpy()[order]
+
+    # ---- what one SimHash brings together
+
+    def simhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, own in placed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(fingerprints_of(own, size).view(np.int64))], names=["node", "fp"])
+
+    prints = scratch.save(marked(texts).select(*needed).mapInArrow(simhash, "node long, fp long"), "prints")
+    distinct = scratch.save(prints.groupBy("fp").agg(F.min("node").alias("least")), "distinct")
+    amount = texts.count()
+    close = links(distinct, max(parallelism(spark), -(-distinct.count() * KEYS_PER_ROW // 3_000_000)))
+    least = distinct.select(F.col("fp").alias("v"), F.col("least").alias("to"))
+    close = close.join(distinct.withColumnRenamed("fp", "u"), "u").join(least, "v").select(F.col("least").alias("u"), F.col("to").alias("v"))
+    same = prints.join(distinct, "fp").filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+
+    # ---- the prefix filter
+
+    parts = max(parallelism(spark), -(-amount * 100 // 2_000_000))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, own in placed(batches):
+            sets = [shingle_set(t, size) for t in own]
+            first = [prefix(s, listed, weight, similarity) for s in sets]
+            each = np.array([len(f) for f in first])
+            keys = np.concatenate(first)
+            node, n = np.repeat(nodes, each), np.repeat(np.array([len(s) for s in sets], np.int32), each)
+            place = (np.arange(len(keys)) - np.repeat(np.cumsum(each) - each, each)).astype(np.int32)
+            part = (_mixed(keys) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            used, begin = np.unique(part[order], return_index=True)
+            cuts = [[x.tobytes() for x in np.split(v[order], begin[1:])] for v in (keys, node, n, place)]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in cuts)], names=["part", "keys", "nodes", "n", "place"])
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, node, least = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("nodes", np.int64), ("least", np.uint64)))
-        order = np.lexsort((node, least, keys))
-        keys, node, least = keys[order], node[order], least[order]
-        index = np.arange(len(keys))
-        new = np.concatenate(([True], keys[1:] != keys[:-1]))
-        apart = new | np.concatenate(([True], least[1:] != least[:-1]))
-        of_key, of_least = (np.maximum.accumulate(np.where(flag, index, 0)) for flag in (new, apart))
-        pair = np.stack([node[np.where(apart, of_key, of_least)], node], axis=1)
-        pair = np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0)
-        return pa.table({"u": pa.array(pair.min(axis=1)), "v": pa.array(pair.max(axis=1))})
+        kinds = (("keys", np.uint64), ("nodes", np.int64), ("n", np.int32), ("place", np.int32))
+        columns = [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in kinds]
+        order = np.lexsort((columns[2], columns[0]))
+        keys, node, n, place = (c[order] for c in columns)
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sizes = np.diff(np.append(begin, len(keys)))
+        group = np.repeat(sizes, sizes)
+        some = np.flatnonzero((group > 1) & (group <= SMALL))
+        pair = np.sort(small_pairs(keys[some], node[some], n[some], place[some], similarity), axis=1)
+        pair = np.unique(pair, axis=0)
+        held = [np.zeros(0, np.int64)]
+        for g in np.flatnonzero(sizes > SMALL).tolist():
+            a, z = int(begin[g]), int(begin[g] + sizes[g])
+            used = np.zeros(z - a, bool)
+            for i, j in _blocks(n[a:z], place[a:z], similarity):
+                used[i] = used[j] = True
+            held.append(a + np.flatnonzero(used))
+        at = np.concatenate(held)
+        nothing = np.zeros(len(pair), np.int32)
+        return pa.table(
+            {
+                "large": pa.array(np.repeat([False, True], [len(pair), len(at)])),
+                "u": pa.array(np.concatenate([pair[:, 0], keys[at].view(np.int64)])),
+                "v": pa.array(np.concatenate([pair[:, 1], node[at]])),
+                "n": pa.array(np.concatenate([nothing, n[at]])),
+                "place": pa.array(np.concatenate([nothing, place[at]])),
+            }
+        )
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                whole = texts_of(batch, i)
-                places = batch.column("places")[i].as_py()
-                sets = [np.unique(np.array(shingle_values(whole[p], size, 1), np.uint64)).view(np.int64) for p in places]
-                node = pa.array([p | batch.column("chunk")[i].as_py() << 15 for p in places], pa.int64())
-                yield pa.RecordBatch.from_arrays([node, pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
-
-    needed = ["chunk", "lengths", "data", "places"]
-    keyed = marked(texts).select(*needed).mapInArrow(spread, "part int, keys binary, nodes binary, least binary")
-    pairs = scratch.save(keyed.groupBy("part").applyInArrow(meet, "u long, v long").distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    asked = asked.select(F.shiftright("node", 15).alias("chunk"), F.col("node").bitwiseAND(F.lit(2**15 - 1)).cast("int").alias("place"))
-    sets = scratch.save(marked(asked).select(*needed).mapInArrow(shingles, "node long, set array<bigint>"), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    every = F.size("a") + F.size("b") - shared
-    alike = both.filter((shared >= similarity * every) | (every == 0)).select("u", "v")
-    roots = star_components(scratch.save(alike, "alike"), scratch)
+        for node, own in placed(batches):
+            sets = [shingle_set(t, size).view(np.int64) for t in own]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, own in placed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([parity(shingle_set(t, size)).tobytes() for t in own], pa.binary())], names=["node", "bits"])
+
+    def verified(pairs: DataFrame, k: int) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        sets = scratch.save(marked_nodes(asked).mapInArrow(shingles, "node long, set array<bigint>"), f"sets-{k}")
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        every = F.size("a") + F.size("b") - shared
+        alike = scratch.save(both.filter((shared >= similarity * every) | (every == 0)).select("u", "v"), f"alike-{k}")
+        scratch.drop(f"sets-{k}")
+        return alike
+
+    def unconnected(most: int | None):
+        def run(table: pa.Table) -> pa.Table:
+            keys, node, root, n, place = (table.column(c).to_numpy() for c in ("key", "node", "root", "n", "place"))
+            order = np.lexsort((n, keys))
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(keys), -1)[order]
+            keys, node, root, n, place = (c[order] for c in (keys, node, root, n, place))
+            begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+            found = [large_pairs(node[a:z], root[a:z], n[a:z], place[a:z], bits[a:z], similarity, most) for a, z in zip(begin[:-1], begin[1:], strict=True)]
+            pair = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            return pa.table({"u": pa.array(pair[:, 0]), "v": pa.array(pair[:, 1])})
+
+        return run
+
+    keyed = marked(texts).select(*needed).mapInArrow(spread, "part int, keys binary, nodes binary, n binary, place binary")
+    met = scratch.save(keyed.groupBy("part").applyInArrow(meet, "large boolean, u long, v long, n int, place int"), "met")
+    large = met.filter("large").select(F.col("u").alias("key"), F.col("v").alias("node"), "n", "place")
+    pairs = met.filter("not large").select("u", "v").union(close.union(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    tested = scratch.save(pairs.distinct(), "pairs-0")
+    alike = verified(tested, 0)
+    roots = star_components(alike, scratch, "stars-0")
+    for k, most in ((1, 4), (2, None)):
+        rooted = scratch.save(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"rooted-{k}")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        active = rooted.join(mixed, "key")
+        bits = marked_nodes(active.select("node").distinct()).mapInArrow(parities, "node long, bits binary")
+        dealt = active.join(bits, "node").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+        found = scratch.save(dealt.groupBy("part").applyInArrow(unconnected(most), "u long, v long").distinct(), f"found-{k}")
+        pairs = scratch.save(found.join(tested, ["u", "v"], "left_anti"), f"pairs-{k}")
+        if not pairs.head(1):
+            if most is None or not found.head(1):
+                break
+            continue
+        tested = tested.union(pairs)
+        alike = alike.union(verified(pairs, k))
+        roots = star_components(alike, scratch, f"stars-{k}")
     node = F.shiftleft("chunk", 15).bitwiseOR(F.col("place").cast("long"))
     grouped = texts.withColumn("node", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = scratch.save(grouped.groupBy("root").agg(F.min(F.struct("id", "chunk", "place")).alias("best")).select("best.chunk", "best.place"), "kept")

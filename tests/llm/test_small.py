@@ -500,3 +500,59 @@ def test_similar_groups_keep_one(spark, odd, empty):
     left = similar_groups(odd).collect()
     assert sorted(x.doc_id for x in left if x.doc_id is not None) == [1, 2, 7, 8, 9] and len(left) == 6
     assert similar_groups(empty).count() == 0
+
+
+def one_of_each_copy(rows):
+    """Least id of each group of texts that share 0.8 of their five-word shingles, by comparing all."""
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i for k, (i, _) in enumerate(rows) if find(k) == k}
+
+
+def kept_copies(spark, rows):
+    from tempograph.llm.simhash import similar_groups
+
+    return {x.doc_id for x in similar_groups(spark.createDataFrame([(i, t, "e", 0) for i, t in rows], DOCS).repartition(3)).collect()}
+
+
+def test_similar_groups_meet_edits_in_one_place(spark):
+    r = random.Random(17)
+    words = lambda n: [f"{r.choice('bdfgklmnprst')}{r.randrange(40_000)}" for _ in range(n)]
+    rows = []
+    for i in range(150):
+        base, share = words(r.randint(120, 300)), r.uniform(0.8, 0.9)
+        rows.append((2 * i, " ".join(base)))
+        if i % 2:  # one paragraph at the end
+            other = base + words(int(len(base) * (1 / share - 1)))
+        else:  # one block replaced
+            n = int(len(base) * (1 - share) / (1 + share))
+            at = r.randrange(len(base) - n)
+            other = base[:at] + words(n) + base[at + n :]
+        rows.append((2 * i + 1, " ".join(other)))
+    expected = one_of_each_copy(rows)
+    assert len(expected) < 200
+    assert kept_copies(spark, rows) == expected
+
+
+def test_similar_groups_behind_a_shared_passage(spark):
+    r = random.Random(23)
+    words = lambda n: [f"{r.choice('bdfgklmnprst')}{r.randrange(40_000)}" for _ in range(n)]
+    passage, rows = words(345), []
+    for i in range(150):  # a passage that all share and a tail of two texts' own
+        tail = words(55)
+        rows.append((2 * i, " ".join(passage + tail)))
+        rows.append((2 * i + 1, " ".join(passage[: 300 - 2 * (i % 9)] + words(20 + i % 9) + passage[330:] + tail)))
+    expected = one_of_each_copy(rows)
+    assert 100 < len(expected) < 200
+    assert kept_copies(spark, rows) == expected
