@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import Scratch, by_bytes
 
 Q = 8
 _BETWEEN = re.compile(r"[\W_]+")
@@ -215,7 +215,29 @@ def contaminated(df: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_b
     return out
 
 
-def decontaminated(df: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
-    """The documents in which no benchmark item was found, with all their columns."""
-    found = contaminated(df, benchmark, rate).select("doc_id").distinct()
-    return df.join(found.select(F.col("doc_id").alias("_found")), F.col("doc_id") == F.col("_found"), "left_anti")
+def decontaminated(df: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_bytes: int = 4_000_000, batch_bytes: int = 1_000_000) -> DataFrame:
+    """The rows in whose text no benchmark item was found, with all their columns.
+
+    Each row is judged by its own text, whatever its id.  The benchmark is taken
+    in blocks as in ``contaminated``; what a block leaves is written for the next.
+    """
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    scratch = Scratch(df.sparkSession, "decontaminated")
+    for b in range(blocks):
+        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        index = Index.build([(r["item_id"], r["text"]) for r in own.collect()], rate)
+
+        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            for batch in by_bytes(batches, "text", batch_bytes):
+                clean = np.ones(batch.num_rows, bool)
+                clean[[f[0] for f in index.find([normalised(t) for t in batch.column("text").to_pylist()])]] = False
+                yield batch.filter(pa.array(clean))
+
+        df = df.mapInArrow(run, df.schema)
+        if b < blocks - 1:
+            df = scratch.save(df, f"block-{b}")
+            if b:
+                scratch.drop(f"block-{b - 1}")
+    return df

@@ -421,6 +421,17 @@ def test_decontamination_tables(spark, docs, odd, empty):
     assert decontaminated(odd, none).count() == len(odd_rows())
 
 
+def test_decontamination_judges_rows_not_ids(spark):
+    from tempograph.llm.decontamination import decontaminated
+
+    item, other = "a passage of the benchmark that nobody should train on", "some further question with its own long answer"
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    rows = [(None, f"before {item} after", "bad", 0), (None, "plain words without an id", "ok", 0), (7, item, "bad", 1), (7, "the clean row of a repeated id", "ok", 1), (8, other, "bad", 2)]
+    for size in (4_000_000, 60):
+        left = decontaminated(spark.createDataFrame(rows, DOCS), bench, block_bytes=size).collect()
+        assert sorted(r.text for r in left) == sorted(r[1] for r in rows if r[2] == "ok")
+
+
 # 10
 
 
