@@ -57,7 +57,26 @@ def facts_at_times(facts: DataFrame, times: DataFrame, days: int = 1) -> DataFra
     return put.join(asked, "bucket").filter((F.col("valid_from") <= F.col("t")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("t")))).drop("bucket")
 
 
-def overlapping_pairs(facts: DataFrame, keys: list[str]) -> DataFrame:
+def overlapping_pairs(facts: DataFrame, keys: list[str], days: int = 1) -> DataFrame:
+    """All pairs of facts of the same key whose intervals overlap: the later one's row, the earlier one as ``other``.
+
+    As an equi-join: the earlier fact lies in every bucket of ``days`` days
+    that it spans, no further than the last start, the later one only in that
+    of its start, so each pair meets once.  Facts without a key meet none.
+    """
+    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / days)
+    earlier = facts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct("id", "valid_from", "valid_to").alias("other"))
+    start, end = F.col("other.valid_from"), F.coalesce("other.valid_to", far())
+    earlier = earlier.crossJoin(F.broadcast(facts.agg(F.max("valid_from").alias("_high")))).filter(end > start)  # one row
+    earlier = earlier.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(F.least(end, "_high"))))).drop("_high")
+    later = facts.withColumn("_at", bucket(F.col("valid_from")))
+    first = (start < F.col("valid_from")) | ((start == F.col("valid_from")) & (F.col("other.id") < F.col("id")))
+    same = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_at") == F.col("_bucket")]
+    both = later.join(earlier, same).filter(first & overlaps(start, F.col("other.valid_to"), F.col("valid_from"), F.col("valid_to")))
+    return both.drop("_at", "_bucket", *[f"_{k}" for k in keys])
+
+
+def overlapping_neighbours(facts: DataFrame, keys: list[str]) -> DataFrame:
     """Neighbours in time of the same key whose intervals overlap (each with the one before)."""
     order = Window.partitionBy(*keys).orderBy("valid_from", "id")
     before = facts.withColumn("other", F.lag(F.struct("id", "valid_from", "valid_to")).over(order))

@@ -36,6 +36,11 @@ def asof_batch_range_join(spark, sf):
 
 
 def interval_overlap_neighbours(spark, sf):
+    pairs = temporal.overlapping_neighbours(facts(spark, sf).withColumn("valid_to", F.expr("valid_from + interval 6 hours")), ["subject_id"])
+    return pairs.select(F.col("other.id").alias("a"), F.col("id").alias("b"), "subject_id")
+
+
+def interval_overlap_pairs(spark, sf):
     pairs = temporal.overlapping_pairs(facts(spark, sf).withColumn("valid_to", F.expr("valid_from + interval 6 hours")), ["subject_id"])
     return pairs.select(F.col("other.id").alias("a"), F.col("id").alias("b"), "subject_id")
 
@@ -108,6 +113,7 @@ QUERIES = {
     "known_at": (known_at, with_sql(FACTS_SQL, body=f"SELECT id, subject_id, recorded_at, expired_at FROM facts WHERE recorded_at <= TIMESTAMP '{AT}' AND (expired_at IS NULL OR expired_at > TIMESTAMP '{AT}')")),
     "asof_batch_range_join": (asof_batch_range_join, with_sql(FACTS_SQL, "times AS (SELECT DISTINCT TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(o_orderkey % 30 AS INTEGER)) AS t FROM orders)", body="SELECT t, predicate, count(*) AS n FROM facts JOIN times ON valid_from <= t AND (valid_to IS NULL OR valid_to > t) WHERE expired_at IS NULL GROUP BY t, predicate")),
     "interval_overlap_neighbours": (interval_overlap_neighbours, with_sql(FACTS_SQL, "p AS (SELECT id AS b, subject_id, valid_from, lag(id) OVER w AS a, lag(valid_from) OVER w + INTERVAL 6 HOURS AS a_end FROM facts WINDOW w AS (PARTITION BY subject_id ORDER BY valid_from, id))", body="SELECT a, b, subject_id FROM p WHERE a_end > valid_from")),
+    "interval_overlap_pairs": (interval_overlap_pairs, with_sql(FACTS_SQL, body="SELECT a.id AS a, b.id AS b, b.subject_id FROM facts a JOIN facts b ON a.subject_id = b.subject_id AND (a.valid_from, a.id) < (b.valid_from, b.id) AND b.valid_from < a.valid_from + INTERVAL 6 HOURS")),
     "window_closeout": (window_closeout, with_sql(FACTS_SQL, body=f"SELECT id, valid_to, CASE WHEN expired_at IS NULL AND valid_to < TIMESTAMP '{NOW}' THEN valid_to ELSE expired_at END AS expired_at FROM facts")),
     "bitemporal_latest": (bitemporal_latest, with_sql(FACTS_SQL, body=f"SELECT {', '.join(COLUMNS)} FROM facts QUALIFY row_number() OVER (PARTITION BY subject_id, predicate ORDER BY valid_from DESC, id DESC) = 1")),
     "top3_latest_facts": (top3_latest_facts, with_sql(FACTS_SQL, body="SELECT id, subject_id, recorded_at FROM facts QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY recorded_at DESC, id DESC) <= 3")),

@@ -127,3 +127,22 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "subject_id string, object_id string")
     assert graph.components(graph.undirected(none)).count() == 0
     assert resolve.similar_pairs(spark.createDataFrame([], "id long, embedding array<double>"), 0.5).count() == 0
+
+
+def test_all_overlapping_pairs(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(80):
+        start = r.randrange(200)
+        rows.append((f"i{i:02d}", f"s{r.randrange(3)}", start, None if r.random() < 0.1 else start + r.choice([0, 2, 30, 130])))
+    at = lambda h: None if h is None else f"2024-02-{1 + h // 24:02d} {h % 24:02d}:00:00" if h < 29 * 24 else None
+    facts = spark.createDataFrame([(i, s, at(a), at(z)) for i, s, a, z in rows], "id string, subject_id string, a string, z string")
+    facts = facts.select("id", "subject_id", F.col("a").cast("timestamp_ntz").alias("valid_from"), F.col("z").cast("timestamp_ntz").alias("valid_to"))
+    far = 10**6
+    want = {
+        (i, j) for i, s, a, z in rows for j, t, b, y in rows
+        if s == t and (a, i) < (b, j) and b < (far if z is None else z) and a < (far if y is None else y)
+    }
+    for days in (1, 3):
+        got = [(x.other.id, x.id) for x in temporal.overlapping_pairs(facts, ["subject_id"], days).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
