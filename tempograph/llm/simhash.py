@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_bytes, parallelism, save_bucketed
+from .common import Scratch, by_bytes, give_back, parallelism, save_bucketed
 from .components import star_components
 from .suffix_dedup import chunked, unpack
 
@@ -342,16 +342,52 @@ def small_pairs(keys: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.nda
     return np.concatenate(found)
 
 
-def _blocks(n: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _reach(n: np.ndarray, place: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by n: the end of the rows whose n is small enough for each one, and the least n that each can be alike to.
+
+    A row i and a later one j may be alike where j lies before the end of i and the least n of j is no more than n of i.
+    """
+    share = (1 + similarity) / similarity
+    end = np.searchsorted(n, (n - place) * share - n + SLACK, side="right")
+    return end, (n - place) * share - n + SLACK
+
+
+def usable(n: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of one key's rows, sorted by n, may be alike to another one; no pair is made."""
+    end, up_to = _reach(n, place, similarity)
+    index = np.arange(len(n))
+    # a later row: the greatest bound of a range, from tables of the ranges of 1, 2, 4, ... rows
+    tables = [up_to]
+    while 2 << len(tables) - 1 <= len(n):
+        half = 1 << len(tables) - 1
+        tables.append(np.maximum(tables[-1][:-half], tables[-1][half:]))
+    out = np.zeros(len(n), bool)
+    size = end - index - 1
+    level = np.frexp(np.maximum(size, 1))[1] - 1
+    for k, table in enumerate(tables):
+        at = np.flatnonzero((size > 0) & (level == k))
+        out[at] = np.maximum(table[at + 1], table[end[at] - (1 << k)]) >= n[at]
+    # an earlier row
+    before = np.minimum(index, np.searchsorted(n, up_to, side="right"))
+    furthest = np.maximum.accumulate(end)
+    at = np.flatnonzero(before > 0)
+    out[at] |= furthest[before[at] - 1] > at
+    return out
+
+
+def _blocks(n: np.ndarray, place: np.ndarray, similarity: float, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one key's rows, sorted by n, that may be alike, a block at a time."""
-    for a in range(0, len(n), 256):
-        own = slice(a, min(len(n), a + 256))
-        end = int(np.searchsorted(n, n[own][-1] / similarity + 1, side="right"))
-        for b in range(a, end, 8192):
-            to = slice(b, min(end, b + 8192))
-            i, j = np.nonzero(may_be_alike(n[own, None], place[own, None], n[None, to], place[None, to], similarity))
-            i, j = i + a, j + b
-            yield i[i < j], j[i < j]
+    end, up_to = _reach(n, place, similarity)
+    size = np.maximum(end - np.arange(len(n)) - 1, 0)
+    total = np.cumsum(size)
+    a = 0
+    while a < len(n):
+        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, side="right")))
+        i = np.repeat(np.arange(a, z), size[a:z])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size[a:z]) - size[a:z], size[a:z])
+        near = up_to[j] >= n[i]
+        yield i[near], j[near]
+        a = z
 
 
 def large_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, similarity: float, most: int | None) -> np.ndarray:
@@ -360,8 +396,8 @@ def large_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.nda
     for i, j in _blocks(n, place, similarity):
         apart = root[i] != root[j]
         i, j = i[apart], j[apart]
-        for at in range(0, len(i), 200_000):
-            a, b = i[at : at + 200_000], j[at : at + 200_000]
+        for at in range(0, len(i), 50_000):
+            a, b = i[at : at + 50_000], j[at : at + 50_000]
             far = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
             near = np.flatnonzero(far <= (1 - similarity) / (1 + similarity) * (n[a] + n[b]) + SLACK)
             a, b, far = a[near], b[near], far[near]
@@ -428,7 +464,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
         where = nodes.select(F.shiftright("node", 15).alias("chunk"), F.col("node").bitwiseAND(F.lit(2**15 - 1)).cast("int").alias("place"))
         return marked(where).select(*needed)
 
-    def placed(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[tuple[np.ndarray, list[str]]]:
+    def placed(batches: Iterator[pa.RecordBatch], most: int = 512) -> Iterator[tuple[np.ndarray, list[str]]]:
         for batch in batches:
             for i in range(batch.num_rows):
                 whole = texts_of(batch, i)
@@ -436,6 +472,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
                 for at in range(0, len(places), most):
                     place = places[at : at + most]
                     yield np.array(place, np.int64) | batch.column("chunk")[i].as_py() << 15, [whole[p] for p in place]
+        give_back()
 
     # ---- shingles that many texts have, from a bounded number of chunks; they order the shingles and decide nothing
 
@@ -469,7 +506,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
 
     # ---- the prefix filter
 
-    parts = max(parallelism(spark), -(-amount * 100 // 2_000_000))
+    parts = max(parallelism(spark), -(-amount * 100 // 500_000))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, own in placed(batches):
@@ -499,12 +536,10 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
         held = [np.zeros(0, np.int64)]
         for g in np.flatnonzero(sizes > SMALL).tolist():
             a, z = int(begin[g]), int(begin[g] + sizes[g])
-            used = np.zeros(z - a, bool)
-            for i, j in _blocks(n[a:z], place[a:z], similarity):
-                used[i] = used[j] = True
-            held.append(a + np.flatnonzero(used))
+            held.append(a + np.flatnonzero(usable(n[a:z], place[a:z], similarity)))
         at = np.concatenate(held)
         nothing = np.zeros(len(pair), np.int32)
+        give_back()
         return pa.table(
             {
                 "large": pa.array(np.repeat([False, True], [len(pair), len(at)])),
