@@ -567,3 +567,19 @@ def test_similar_groups_behind_a_shared_passage(spark):
     expected = one_of_each_copy(rows)
     assert 100 < len(expected) < 200
     assert kept_copies(spark, rows) == expected
+
+
+def test_ranges_leave_out_no_pair():
+    import numpy as np
+
+    from tempograph.llm.simhash import _blocks, may_be_alike, usable
+
+    r = np.random.default_rng(1)
+    for _ in range(100):
+        rows = int(r.integers(1, 60))
+        n = np.sort(r.integers(0, 60, rows)).astype(np.int32)
+        place = np.minimum(r.integers(0, 12, rows), np.maximum(n - 1, 0)).astype(np.int32)
+        want = np.triu(may_be_alike(n[:, None], place[:, None], n[None], place[None], 0.8), 1)
+        got = {p for i, j in _blocks(n, place, 0.8, 50) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        assert got == set(zip(*(x.tolist() for x in np.nonzero(want)), strict=True))
+        assert not ((want.any(0) | want.any(1)) & ~usable(n, place, 0.8)).any()
