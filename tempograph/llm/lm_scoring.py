@@ -2,11 +2,20 @@
 
 P(text) is the product over its tokens, the end last, of
 P(class | class before) * P(word | class).  Classes come from exchange
-clustering: the ``core`` most frequent words are exchanged between classes,
-one word at a time and each to the class that raises the likelihood of the
-class bigrams the most, until no word moves or ``sweeps`` sweeps are over;
-their word bigrams are counted over the whole corpus.  Every other word then
-makes the same move once, from its counts beside those classes.
+clustering of the whole training vocabulary: a word moves to the class that
+raises the likelihood of the class bigrams the most.
+
+The ``core`` most frequent words seed the classes: the driver exchanges them
+one at a time, on their bigrams of the whole corpus, until none moves or
+``seeding`` sweeps are over.  Then come sweeps over every training word, the
+core's again: the first gives each word without a class one, the next
+``sweeps`` move words on.  A sweep sends each word's counts beside the current
+classes to the part that owns the word; a part takes its words from frequent to
+rare, a block at a time, and sees its own moves at once and those of other
+parts in the next sweep, when the class bigrams are counted anew.  It ends when
+no word moves; a sweep that lowers the likelihood (parts moved at cross
+purposes) is not taken and ends it too.  All words, whatever their count, move
+by the same rule.
 
 Emissions are discounted by what words seen once and twice say (d = n1 / (n1 +
 2 n2) of the class); the discounts go to the one event "a word that training
@@ -16,8 +25,8 @@ the class frequencies.  All probabilities of a place sum to one.
 Texts are packed into chunks with a dictionary each, bucketed by chunk.  Words
 are counted by hash range, from one row per chunk and range, so the most
 frequent word costs its reducer one entry per chunk; answers go back to the
-chunks.  The driver holds the core's bigrams and class tables only, whose size
-the parameters bound.
+chunks.  The driver holds the core's bigrams and the class tables only, whose
+size the parameters bound.
 
 Null texts count as empty: one token, the end.  Null ids are in the fold of
 remainder 0.  Equal rows count each.  Without training texts nothing is known,
@@ -28,7 +37,7 @@ ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,15 +76,15 @@ def tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), np.bincount(owner[kept], minlength=len(sizes))
 
 
-# ---- exchange clustering of the core
+# ---- exchange clustering
 
 
 def _plogp(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    return x * np.log(np.maximum(x, 1e-300)) * (x > 0)
 
 
 def exchange(bigrams: np.ndarray, classes: int, fixed: int, sweeps: int) -> np.ndarray:
-    """Classes of the core's words.
+    """Classes of the core's words, exchanged one at a time until none moves or the sweeps are over.
 
     ``bigrams`` counts word pairs; its last ``fixed`` rows and columns are
     classes of their own that never move (the end, and all words outside).
@@ -128,11 +137,89 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int, sweeps: int) -> np.n
                 after[:, b] += bigrams[:, w]
                 before[a] -= bigrams[w]
                 before[b] += bigrams[w]
-        if moved <= words // 500:
+        if not moved:
             break
     return where
 
 
+def likelihood(table: np.ndarray) -> float:
+    """What the class bigrams add to the log likelihood of the corpus; the rest of it does not depend on classes."""
+    return float(_plogp(table).sum() - _plogp(table.sum(0)).sum() - _plogp(table.sum(1)).sum())
+
+
+def gains(table: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, where: np.ndarray, classes: int) -> np.ndarray:
+    """Gain in likelihood of each word (row) in each class, against the word taken out of the class that it is in.
+
+    ``table`` counts class pairs, ``after`` and ``before`` the classes that
+    follow and precede each word, less the ``own`` times that it follows itself.
+    """
+    p0 = _plogp(table)
+    out, into = table.sum(1), table.sum(0)
+    rows = np.arange(len(where))
+    gain = np.zeros((len(where), classes))
+    for counts, cells, known in ((after, table[:classes].T, p0[:classes].T), (before, table[:, :classes], p0[:, :classes])):
+        word, beside = np.nonzero(counts)
+        for at in range(0, len(word), 20_000):
+            w, c = word[at : at + 20_000], beside[at : at + 20_000]
+            step = _plogp(cells[c] + counts[w, c][:, None]) - known[c]
+            first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+            gain[w[first]] += np.add.reduceat(step, first)
+    s, p = after[:, :classes], before[:, :classes]
+    # a word leaves the cells of its own class before it enters another one
+    for counts, gone, cells in ((after, p, table[:classes].T), (before, s, table[:, :classes])):
+        w = np.flatnonzero(counts[rows, where])
+        n, cell = counts[w, where[w]][:, None], cells[where[w]]
+        gain[w] += _plogp(cell - gone[w] + n) - _plogp(cell - gone[w]) - _plogp(cell + n) + _plogp(cell)
+    corner = np.diagonal(table)[:classes]
+    gain += _plogp(corner + s + p + own[:, None]) - _plogp(corner + s) - _plogp(corner + p) + _plogp(corner)
+    for counts, size in ((after, out), (before, into)):
+        n = (counts.sum(1) + own)[:, None]
+        gain -= _plogp(size[:classes] + n) - _plogp(size[:classes])
+    # in the class that it is in, the cells already hold it
+    w = np.flatnonzero(where < classes)
+    a = where[w]
+    stay = np.zeros(len(w))
+    for counts, cells, known, size in ((after, table, p0, out), (before, table.T, p0.T, into)):
+        left = known[a] - _plogp(cells[a] - counts[w])
+        left[np.arange(len(w)), a] = 0.0
+        n = counts[w].sum(1) + own[w]
+        stay += left.sum(1) - _plogp(size[a]) + _plogp(size[a] - n)
+    stay += p0[a, a] - _plogp(table[a, a] - after[w, a] - before[w, a] - own[w])
+    gain[w, a] = stay
+    return gain
+
+
+def moves(table: np.ndarray, beside: Callable[[int, int], np.ndarray], where: np.ndarray, classes: int) -> np.ndarray:
+    """Classes of words, the most frequent first, after each had its move; ``table`` follows the moves.
+
+    ``beside(a, z)`` gives the words' counts: classes after, classes before, itself.
+    """
+    where = where.copy()
+    wide = len(table)
+    a, size = 0, 16
+    while a < len(where):
+        z = min(len(where), a + size)
+        counts = beside(a, z).astype(np.float64)
+        after, before, own = counts[:, :wide], counts[:, wide : 2 * wide], counts[:, 2 * wide]
+        old, rows = where[a:z], np.arange(z - a)
+        after[rows, old] -= own
+        before[rows, old] -= own
+        gain = gains(table, after, before, own, old, classes)
+        new = gain.argmax(1)
+        inside = old < classes
+        stays = inside & (gain[rows, new] <= gain[rows, np.minimum(old, classes - 1)] + 1e-9)
+        new = np.where(stays, old, new)
+        w = np.flatnonzero(new != old)
+        for to, sign in ((old[w], -1.0), (new[w], 1.0)):
+            np.add.at(table, to, sign * after[w])
+            np.add.at(table.T, to, sign * before[w])
+            np.add.at(table, (to, to), sign * own[w])
+        np.maximum(table, 0.0, out=table)
+        where[a:z] = new
+        a, size = z, min(2 * size, 2048)
+    return where
+
+
 # ---- chunks
 
 CHUNKS = "chunk long, ids array<bigint>, held binary, lengths binary, tokens binary, words binary, seen binary, bytes long"
@@ -305,27 +392,36 @@ def _bigrams(chunks: DataFrame, core: list[bytes], blocks: int = 32) -> np.ndarr
     return out.reshape(wide, wide)
 
 
-def _beside(chunks: DataFrame, core: dict[bytes, int], classes: int, parts: int) -> DataFrame:
-    """(part, chunk, words, seen, cells): each chunk's words by range, with counts beside classes for those outside the core."""
+def _beside(chunks: DataFrame, classes: int, parts: int, named: dict[bytes, int] | None = None) -> DataFrame:
+    """(part, chunk, words, ...): each chunk's words by range, with their classes and their counts beside the classes.
+
+    Classes are those that came back to the chunk or, in the first sweep, those
+    of ``named``; other words are outside then.
+    """
     end, outside = classes, classes + 1
-    wide = 2 * (classes + 2)
-    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64())] + [(n, pa.binary()) for n in ("words", "seen", "rows", "cells", "counts")])
+    wide = 2 * (classes + 2) + 1
+    names = ("words", "seen", "classes", "rows", "cells", "counts")
+    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64())] + [(n, pa.binary()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _chunks(batches):
-            value = np.fromiter((core.get(w, outside) for w in c.words), np.int64, len(c.words))
+            if named is None:
+                value = _known(c)[1]
+            else:
+                value = np.fromiter((named.get(w, outside) for w in c.words), np.int64, len(c.words))
+            value = np.where(c.seen > 0, value, -1)
             line = c.stream(value, end, True)
-            word = c.stream(np.where(value == outside, np.arange(len(c.words)), -1), -1, True)
+            word = c.stream(np.arange(len(c.words)), -1, True)
             at = np.flatnonzero(word >= 0)
-            key = np.concatenate([word[at] * wide + line[at + 1], word[at] * wide + classes + 2 + line[at - 1]])
+            again = at[word[at - 1] == word[at]]
+            key = np.concatenate([word[at] * wide + line[at + 1], word[at] * wide + classes + 2 + line[at - 1], word[again] * wide + wide - 1])
             key, n = np.unique(key, return_counts=True)
             owner, cell = key // wide, key % wide
             part = c.parts(parts)
             rows = []
             place = np.empty(len(c.words), np.int64)
-            groups = _grouped(part)
             by_part = dict(_grouped(part[owner])) if len(owner) else {}
-            for p, own in groups:
+            for p, own in _grouped(part):
                 place[own] = np.arange(len(own))
                 e = by_part.get(p, np.zeros(0, np.int64))
                 rows.append(
@@ -334,52 +430,63 @@ def _beside(chunks: DataFrame, core: dict[bytes, int], classes: int, parts: int)
                         "chunk": c.row["chunk"],
                         "words": _pack(b"\n".join([c.words[i] for i in own.tolist()])),
                         "seen": _pack(c.seen[own].tobytes()),
-                        "rows": _pack(place[owner[e]].astype(np.uint32).tobytes()),
+                        "classes": _pack(value[own].astype(np.int16).tobytes()),
+                        "rows": _pack(np.diff(place[owner[e]], prepend=0).astype(np.uint16 if len(own) < 2**16 else np.uint32).tobytes()),
                         "cells": _pack(cell[e].astype(np.uint16).tobytes()),
                         "counts": _pack(n[e].astype(np.uint32).tobytes()),
                     }
                 )
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return chunks.select("chunk", "held", "lengths", "tokens", "words", "seen").mapInArrow(run, "part int, chunk long, words binary, seen binary, rows binary, cells binary, counts binary")
+    columns = ["chunk", "held", "lengths", "tokens", "words", "seen"] + ([] if named is not None else ["parts", "marks"])
+    return chunks.select(*columns).mapInArrow(run, "part int, chunk long, " + ", ".join(f"{n} binary" for n in names))
 
 
-def _assign(core: dict[bytes, int], pull: np.ndarray, classes: int):
-    """Class and count of each word, sent back to the chunks, and sums of each class."""
-    wide = pull.shape[0]
+def _move(table: np.ndarray, classes: int):
+    """Class and count of each word after its move, sent back to the chunks, and sums of each class."""
+    wide = 2 * (classes + 2) + 1
 
-    def assign(table: pa.Table) -> pa.Table:
-        words, which, sizes = _merged_words(table.column("words").to_pylist())
-        seen = np.concatenate([_numbers(b, np.int32) for b in table.column("seen").to_pylist()])
+    def move(rows_: pa.Table) -> pa.Table:
+        columns = {n: rows_.column(n).to_pylist() for n in ("words", "seen", "classes", "rows", "cells", "counts")}
+        words, which, sizes = _merged_words(columns["words"])
+        seen = np.concatenate([_numbers(b, np.int32) for b in columns["seen"]])
         total = np.bincount(which, seen, len(words)).astype(np.int64)
-        first = np.repeat(np.cumsum(sizes) - sizes, [len(_numbers(b, np.uint32)) for b in table.column("rows").to_pylist()])
-        rows = np.concatenate([_numbers(b, np.uint32) for b in table.column("rows").to_pylist()]).astype(np.int64)
-        cells = np.concatenate([_numbers(b, np.uint16) for b in table.column("cells").to_pylist()]).astype(np.int64)
-        counts = np.concatenate([_numbers(b, np.uint32) for b in table.column("counts").to_pylist()])
-        owner = which[first + rows] if len(rows) else rows
-        own = np.fromiter((core.get(w, -1) for w in words.to_pylist()), np.int64, len(words))
-        order = np.argsort(owner, kind="stable")
-        owner, cells, counts = owner[order], cells[order], counts[order]
-        for a in range(0, len(words), 16_384):
-            z = min(len(words), a + 16_384)
+        held = [np.cumsum(_numbers(b, np.uint16 if n < 2**16 else np.uint32).astype(np.int64)) for b, n in zip(columns["rows"], sizes, strict=True)]
+        first = np.repeat(np.cumsum(sizes) - sizes, [len(h) for h in held])
+        owner = which[first + np.concatenate(held)] if len(first) else np.zeros(0, np.int64)
+        cells = np.concatenate([_numbers(b, np.uint16) for b in columns["cells"]]).astype(np.int64)
+        counts = np.concatenate([_numbers(b, np.uint32) for b in columns["counts"]])
+        where = np.full(len(words), -1, np.int64)
+        given = np.concatenate([_numbers(b, np.int16) for b in columns["classes"]])
+        where[which[given >= 0]] = given[given >= 0]
+        # from frequent to rare; equal counts by the word, so that the order of rows does not matter
+        listed = words.to_pylist()
+        known = np.array(sorted(np.flatnonzero(total > 0).tolist(), key=lambda i: (-total[i], listed[i])), np.int64)
+        rank = np.full(len(words), len(known))
+        rank[known] = np.arange(len(known))
+        order = np.argsort(rank[owner], kind="stable")
+        owner, cells, counts = rank[owner[order]], cells[order], counts[order]
+
+        def beside(a: int, z: int) -> np.ndarray:
             lo, hi = np.searchsorted(owner, (a, z))
-            beside = np.bincount((owner[lo:hi] - a) * wide + cells[lo:hi], counts[lo:hi], (z - a) * wide).reshape(z - a, wide)
-            best = (beside @ pull).argmax(1)
-            own[a:z] = np.where(own[a:z] >= 0, own[a:z], np.where(total[a:z] > 0, best, -1))
-        known = total > 0
-        sums = [np.bincount(own[m], w, classes).astype(np.int64) for m, w in ((known, total[known]), (known, None), (total == 1, None), (total == 2, None))]
+            return np.bincount((owner[lo:hi] - a) * wide + cells[lo:hi], counts[lo:hi], (z - a) * wide).reshape(z - a, wide)
+
+        after = moves(table.copy(), beside, where[known], classes)
+        moved = int((after != where[known]).sum())
+        where[known] = after
+        sums = [np.bincount(after[m], w, classes).astype(np.int64) for m, w in ((slice(None), total[known]), (slice(None), None), (total[known] == 1, None), (total[known] == 2, None))]
         ends = np.cumsum(sizes)
-        made = [(_pack(total[which[e - n : e]].astype(np.int64).tobytes()), _pack(own[which[e - n : e]].astype(np.int16).tobytes())) for e, n in zip(ends, sizes, strict=True)]
+        made = [(_pack(total[which[e - n : e]].astype(np.int64).tobytes()), _pack(where[which[e - n : e]].astype(np.int16).tobytes())) for e, n in zip(ends, sizes, strict=True)]
         return pa.table(
             {
-                "chunk": pa.concat_arrays([table.column("chunk").combine_chunks(), pa.array([-1], pa.int64())]),
-                "part": pa.concat_arrays([table.column("part").combine_chunks(), table.column("part").combine_chunks()[:1]]),
-                "counts": pa.array([m[0] for m in made] + [np.concatenate(sums).tobytes()], pa.binary()),
+                "chunk": pa.concat_arrays([rows_.column("chunk").combine_chunks(), pa.array([-1], pa.int64())]),
+                "part": pa.concat_arrays([rows_.column("part").combine_chunks(), rows_.column("part").combine_chunks()[:1]]),
+                "counts": pa.array([m[0] for m in made] + [np.append(np.concatenate(sums), moved).tobytes()], pa.binary()),
                 "classes": pa.array([m[1] for m in made] + [b""], pa.binary()),
             }
         )
 
-    return assign
+    return move
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,8 +584,8 @@ def _scores(marked: DataFrame, model: Model) -> DataFrame:
     return marked.mapInArrow(run, schema)
 
 
-def score(df: DataFrame, classes: int = 64, core: int = 2048, sweeps: int = 8, folds: int = 10, chunk_bytes: int = 4_000_000, part_bytes: int = 24_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
+def fit(df: DataFrame, classes: int = 64, core: int = 2048, seeding: int = 8, sweeps: int = 3, folds: int = 10, chunk_bytes: int = 4_000_000, part_bytes: int = 24_000_000) -> tuple[DataFrame, Model]:
+    """The chunks with the count and class of each of their words, and the model."""
     spark = df.sparkSession
     scratch = Scratch(spark, "classes")
     docs = df.select(F.col("doc_id").cast("long").alias("id"), "text", (F.pmod(crc_of_id(), F.lit(folds)) == 0).alias("held"))
@@ -488,20 +595,35 @@ def score(df: DataFrame, classes: int = 64, core: int = 2048, sweeps: int = 8, f
     chunks = chunks.withColumn("parts", F.lit(parts))
     frequent = _core(_count(chunks, parts), parts, core)
     pairs = _bigrams(chunks, frequent)
-    where = exchange(pairs, classes, 2, sweeps)
+    where = exchange(pairs, classes, 2, seeding)
     named = dict(zip(frequent, where[: len(frequent)].tolist(), strict=True))
-    # what a class gains from a word beside each class: to the right, then to the left
-    beside = np.zeros((classes + 2, classes + 2))
-    np.add.at(beside, (where[:, None], where[None, :]), pairs)
     texts = int(pairs[len(frequent)].sum())
-    size = beside.sum(1)[:classes] + 1
-    pull = np.concatenate([np.log((beside[:classes].T + 0.5) / size), np.log((beside[:, :classes] + 0.5) / size)])
-    sent = _beside(chunks, named, classes, parts)
-    marks = scratch.save(sent.groupBy("part").applyInArrow(_assign(named, pull, classes), "chunk long, part int, counts binary, classes binary"), "marks")
-    sums = np.zeros(4 * classes, np.int64)
-    for r in marks.filter("chunk = -1").select("counts").mapInArrow(_summed, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        sums[r["cell"]] = r["n"]
-    gathered = marks.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "classes")).alias("marks"))
-    marked = chunks.join(gathered, "chunk", "left")
-    model = Model(_transitions(marked, classes), *sums.reshape(4, classes), texts)
-    return _scores(marked, model).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    table = np.zeros((classes + 2, classes + 2))
+    np.add.at(table, (where[:, None], where[None, :]), pairs)
+    marked, best = chunks, None
+    for k in range(sweeps + 1):
+        sent = _beside(marked, classes, parts, None if k else named)
+        marks = scratch.save(sent.groupBy("part").applyInArrow(_move(table, classes), "chunk long, part int, counts binary, classes binary"), f"marks-{k}")
+        sums = np.zeros(4 * classes + 1, np.int64)
+        for r in marks.filter("chunk = -1").select("counts").mapInArrow(_summed, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            sums[r["cell"]] = r["n"]
+        gathered = marks.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "classes")).alias("marks"))
+        tried = chunks.join(gathered, "chunk", "left")
+        bigrams = _transitions(tried, classes)
+        found = likelihood(bigrams)
+        if best is not None and found < best[0]:
+            break
+        best, marked = (found, bigrams, sums), tried
+        table = np.zeros((classes + 2, classes + 2))
+        table[: classes + 1, : classes + 1] = bigrams
+        if not sums[-1]:
+            break
+        if k:
+            scratch.drop(f"marks-{k - 1}")
+    return marked, Model(best[1], *best[2][:-1].reshape(4, classes), texts)
+
+
+def score(df: DataFrame, **parameters: int) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row; parameters as in ``fit``."""
+    scored = _scores(*fit(df, **parameters))
+    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -92,6 +92,107 @@ def test_exchange_finds_two_classes():
     assert len(set(where[:4])) == 1 and len(set(where[4:8])) == 1 and where[0] != where[4]
 
 
+def test_gains_are_differences_of_likelihood():
+    import numpy as np
+
+    from tempograph.llm.lm_scoring import gains, likelihood, moves
+
+    r = np.random.default_rng(5)
+    words, classes = 40, 6
+    pairs = r.poisson(r.gamma(0.3, 2.0, (words + 1, words + 1)))  # the last one: the end
+
+    def table_of(where):
+        table = np.zeros((classes + 2, classes + 2))
+        np.add.at(table, (where[:, None], where[None, :]), pairs)
+        return table
+
+    def beside(chosen, where):
+        after, before = np.zeros((len(chosen), classes + 2)), np.zeros((len(chosen), classes + 2))
+        for i, w in enumerate(chosen):
+            for v in range(words + 1):
+                if v != w:
+                    after[i, where[v]] += pairs[w, v]
+                    before[i, where[v]] += pairs[v, w]
+        return after, before, np.array([pairs[w, w] for w in chosen], float)
+
+    # some words outside all classes, one class with a single word
+    where = np.append(r.integers(0, classes - 1, words), classes)
+    where[3], where[:3] = classes - 1, classes + 1
+    chosen = np.arange(words)
+    got = gains(table_of(where), *beside(chosen, where), where[:words], classes)
+    for w in chosen:
+        made = []
+        for c in range(classes):
+            moved = where.copy()
+            moved[w] = c
+            made.append(likelihood(table_of(moved)))
+        for c in range(classes):
+            assert abs((got[w, c] - got[w, 0]) - (made[c] - made[0])) < 1e-6, (w, c)
+    # one word at a time never lowers the likelihood
+    before = likelihood(table_of(where))
+    for w in range(3, words):
+        after, left, own = beside([w], where)
+        counts = np.concatenate([after, left, own[:, None]], axis=1)
+        counts[0, where[w]] += own[0]
+        counts[0, classes + 2 + where[w]] += own[0]
+        where[w] = moves(table_of(where), lambda a, z, counts=counts: counts[a:z], where[w : w + 1], classes)[0]
+        now = likelihood(table_of(where))
+        assert now >= before - 1e-9
+        before = now
+
+
+def test_lm_score_matches_plain_python(spark, docs):
+    """The classes of all training words are read back; counts, transitions, discounts and scores are made again from the texts."""
+    from tempograph.llm.lm_scoring import Chunk, _known, fit, likelihood, score
+
+    chosen = docs.filter("doc_id < 60").select("doc_id", "text")
+    size = dict(classes=6, core=50, sweeps=2)
+    marked, model = fit(chosen, **size)
+    of = {}
+    for row in marked.collect():
+        c = Chunk(row.asDict(recursive=True))
+        of |= {w: int(k) for w, k in zip(c.words, _known(c)[1], strict=True) if k >= 0}
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in chosen.collect()}
+    train = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10}
+    count, pair, end = {}, {}, 6
+    for t in train.values():
+        for w in t:
+            count[w] = count.get(w, 0) + 1
+        line = [end] + [of[w] for w in t] + [end]
+        for a, b in zip(line, line[1:], strict=False):
+            pair[a, b] = pair.get((a, b), 0) + 1
+    assert set(count) == set(of)  # every training word has a class
+    tokens, kinds, once, twice = ([sum(f(n) for w, n in count.items() if of[w] == c) for c in range(6)] for f in (lambda n: n, lambda n: 1, lambda n: n == 1, lambda n: n == 2))
+    discount = [min(0.9, max(0.1, o / max(o + 2 * t, 1))) for o, t in zip(once, twice, strict=True)]
+    into = [sum(pair.get((a, b), 0) for a in range(7)) + 1 for b in range(7)]
+
+    def step(a, b):
+        return (pair.get((a, b), 0) + 5 * into[b] / sum(into)) / (sum(pair.get((a, c), 0) for c in range(7)) + 5)
+
+    def strange(a):
+        return sum(step(a, c) * (discount[c] * kinds[c] / tokens[c] if tokens[c] else 1.0) for c in range(6))
+
+    got = by_id(score(chosen, **size))
+    for i, t in texts.items():
+        at, want = end, 0.0
+        for w in t:
+            if w in of:
+                want += math.log10(step(at, of[w]) * (count[w] - discount[of[w]]) / tokens[of[w]])
+                at = of[w]
+            else:
+                want += math.log10(strange(at))
+        want += math.log10(step(at, end))
+        assert abs(want - got[i].score) < 1e-6 * max(1, len(t))
+    # the sweeps over all words raise the likelihood over the first assignment
+    none, _ = fit(chosen, classes=6, core=50, sweeps=0)
+    import numpy as np
+
+    from tempograph.llm.lm_scoring import _transitions
+
+    assert likelihood(_transitions(marked, 6)) > likelihood(_transitions(none, 6))
+    assert np.isfinite(model.step).all()
+
+
 def test_lm_odd_rows(odd, empty):
     from tempograph.llm.lm_scoring import score
 
