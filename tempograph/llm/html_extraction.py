@@ -2,8 +2,9 @@
 
 A page becomes a tree of block elements; inline elements belong to their
 block.  Each node has features of its subtree (text, density, links,
-punctuation), attribute tokens, depth, siblings and place; boosted trees give
-the chance that its subtree holds article text.  Decoding takes the most
+punctuation), attribute tokens (hashed into ``HASHED`` cells, and counted by
+two lists), depth, siblings and place; boosted trees give the chance that its
+subtree holds article text.  Decoding takes the most
 likely labelling in which a dropped node drops all below it, found from the
 leaves up, so an ancestor and a descendant never contradict each other.
 
@@ -11,8 +12,8 @@ The trees are fitted on pages that ``Maker`` builds with known article parts:
 a bounded number of them (``pages``), from a fixed seed.
 
 Null html counts as empty; a page without article text gives an empty string;
-broken markup is read as far as it can be; repeated pages each give a row,
-extra columns are ignored.  Scripts, styles, forms and the head never count as
+broken markup is read as far as it can be, in time linear in its length;
+repeated pages each give a row, extra columns are ignored.  Scripts, styles, forms and the head never count as
 text.  Character references are decoded, white space in a block becomes one
 space, blocks are joined by a line feed in page order.
 """
@@ -23,7 +24,8 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,7 +45,8 @@ WALLS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 GOOD = {"article", "content", "post", "entry", "body", "main", "text", "story", "prose", "page"}
 BAD = {"nav", "navbar", "navigation", "menu", "header", "head", "masthead", "top", "topbar", "footer", "foot", "bottom", "sidebar", "side", "aside", "rail", "ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "promoted", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "related", "recommended", "share", "sharing", "social", "comment", "comments", "commentlist", "reply", "replies", "discussion", "disqus", "subscribe", "newsletter", "signup", "login", "search", "breadcrumb", "breadcrumbs", "crumbs", "widget", "copyright", "legal", "disclaimer", "pagination", "pager", "tags", "toolbar", "contentinfo", "complementary", "skip", "hidden", "feedback", "responses"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_VALUE = re.compile(r"=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -66,10 +69,93 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /\t\r\n") else {}
 
 
+class Tags:
+    """The tags of a page from left to right, in one pass whatever the markup.
+
+    Quotes hold a tag open only after an equals sign.  Where a quoted value
+    never ends, quotes mean nothing from there on; a tag that never ends is
+    text.  So no part of a page is read more than twice.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.quoted = source, True
+        self.last = source.rfind(">")
+        self.lowered: str | None = None
+
+    def end_of(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag around ``at``."""
+        source, stop = self.source, -1
+        while self.quoted:
+            if stop < at:
+                stop = source.find(">", at)
+            value = _VALUE.search(source, at, stop if stop >= 0 else len(source))
+            if not value:
+                return stop
+            close = source.find(value[1], value.end())
+            if close < 0:
+                self.quoted = False
+            else:
+                at = close + 1
+                if at > self.last:
+                    self.quoted = False
+        return stop if stop >= at else source.find(">", at)
+
+    def after(self, name: str, at: int) -> int:
+        """The place behind the end tag of a raw element; the page's end if it has none."""
+        if self.lowered is None:
+            self.lowered = self.source.lower() if len(self.source.lower()) == len(self.source) else self.source
+        while True:
+            at = self.lowered.find("</" + name, at)
+            if at < 0:
+                return len(self.source)
+            stop = at + 2 + len(name)
+            end = self.source.find(">", stop)
+            if end < 0:
+                return len(self.source)
+            if self.source[stop : min(end, stop + 1)].strip(" \t\r\n\f/") == "":
+                return end + 1
+            at = stop
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """(begin, end, whether it closes, name, attributes) of each tag; comments and declarations have no name."""
+        source, at = self.source, 0
+        while True:
+            begin = source.find("<", at)
+            if begin < 0 or begin > self.last:
+                return
+            follows = source[begin + 1 : begin + 2]
+            if source.startswith("!--", begin + 1):
+                end = source.find("-->", begin + 4)
+                at = len(source) if end < 0 else end + 3
+                yield begin, at, False, "", ""
+                continue
+            if follows and follows in "!?":
+                at = source.find(">", begin) + 1
+                yield begin, at, False, "", ""
+                continue
+            closes = follows == "/"
+            name = _NAME.match(source, begin + 1 + closes)
+            if not name:
+                at = begin + 1
+                continue
+            end = self.end_of(name.end())
+            if end < 0:
+                at = begin + 1
+                continue
+            at = end + 1
+            lowered = name[0].lower()
+            if lowered in RAW and not closes:
+                at = self.after(lowered, at)
+            yield begin, at, closes, lowered, source[name.end() : end]
+
+
 def parse(source: str) -> list[Node]:
     """Block elements in page order, the root first; a text is kept with the block that it stands in."""
     nodes = [Node("html", -1, 0)]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, with the block that they belong to
+    # where each element is open in the stack, and the blocks among them: what a tag closes is found without a search
+    places: dict[str, list[int]] = {"html": [0]}
+    blocks = [0]
     silent = anchor = 0
     at = 0
 
@@ -81,60 +167,53 @@ def parse(source: str) -> list[Node]:
             if anchor:
                 own.links += len(piece)
 
+    def opened(name: str, block: int) -> None:
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCKS:
+            blocks.append(len(stack))
+        stack.append((name, block))
+
     def close(to: int) -> None:
         nonlocal silent, anchor
         while len(stack) > to:
             name, _ = stack.pop()
+            places[name].pop()
+            if name in BLOCKS:
+                blocks.pop()
             silent -= name in SILENT
             anchor -= name == "a"
 
-    end = len(source)
-    while at < end:
-        m = _TOKEN.search(source, at)
-        if not m:
-            text(end)
-            break
-        text(m.start())
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    def last(names: Iterable[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    for begin, end, closes, name, given in Tags(source):
+        text(begin)
+        at = end
         if not name:
             continue
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if name not in BLOCKS and stack[k][0] in BLOCKS and name not in SILENT:
-                    break
+        if closes:
+            k = last((name,))
+            if k > 0 and (name in BLOCKS or name in SILENT or k > blocks[-1]):
+                close(k)
             if name in BLOCKS:
                 nodes[stack[-1][1]].content.append(None)
             continue
-        given = m[3] or m[6] or ""
+        if name in RAW:
+            continue
         if name in VOID:
             if name == "input":
                 nodes[stack[-1][1]].inputs += 1
             if name in ("br", "hr"):
                 nodes[stack[-1][1]].content.append(" ")
             continue
-        if name in RAW:
-            stop = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-            at = stop.end() if stop else end
-            continue
         if name in BLOCKS:
-            if name not in ("td", "th", "li") or name in CLOSES:
-                wall = WALLS.get(name, set())
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in wall:
-                        break
-                    if stack[k][0] in CLOSES.get(name, ()):
-                        close(k)
-                        break
-                    if stack[k][0] in PHRASE and name not in CLOSES:
-                        close(k)
-                        break
-                    if stack[k][0] in BLOCKS and name not in CLOSES:
-                        break
-            if name in ("html", "body") and any(s[0] == name for s in stack):
+            if name in CLOSES:
+                k = last(CLOSES[name])
+                if k > last(WALLS[name]):
+                    close(k)
+            elif stack[blocks[-1]][0] in PHRASE:
+                close(blocks[-1])
+            if name in ("html", "body") and places.get(name):
                 continue
             if not silent:
                 parent = stack[-1][1]
@@ -144,15 +223,16 @@ def parse(source: str) -> list[Node]:
                 hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
                 nodes.append(Node(name, parent, nodes[parent].depth + 1, tokens, hidden, "data-gold" in found or nodes[parent].gold and "data-dross" not in found))
                 nodes[parent].content.append(len(nodes) - 1)
-                stack.append((name, len(nodes) - 1))
+                opened(name, len(nodes) - 1)
             else:
-                stack.append((name, stack[-1][1]))
+                opened(name, stack[-1][1])
             continue
         if given.rstrip().endswith("/"):
             continue
-        stack.append((name, stack[-1][1]))
+        opened(name, stack[-1][1])
         silent += name in SILENT
         anchor += name == "a"
+    text(len(source))
     return nodes
 
 
@@ -174,7 +254,8 @@ def own_blocks(node: Node) -> list[str | int]:
 
 
 TAGS = (("article", "main"), ("nav", "footer", "header", "aside", "address"), ("div", "section", "center", "details"), ("p", "blockquote", "pre"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("table", "tbody", "tr", "td", "th", "thead"), ("figure", "figcaption", "caption"), ("html", "body"))
-WIDTH = 20 + len(TAGS)
+HASHED = 24
+WIDTH = 20 + len(TAGS) + HASHED
 
 
 def features(nodes: list[Node], blocks: list[list[str | int]]) -> np.ndarray:
@@ -207,14 +288,20 @@ def features(nodes: list[Node], blocks: list[list[str | int]]) -> np.ndarray:
         seen += own[i]
         for k, tags in enumerate(TAGS):
             out[i, 20 + k] = x.tag in tags
+        for t in x.tokens:
+            out[i, 20 + len(TAGS) + zlib.crc32(t.encode()) % HASHED] += 1
+    place, many, kin = np.zeros(n), np.ones(n), np.zeros(n)
+    kin[0] = whole[0]
+    for own_children in children:
+        if own_children:
+            place[own_children] = np.arange(len(own_children))
+            many[own_children] = len(own_children)
+            kin[own_children] = whole[own_children].mean()
     for i, x in enumerate(nodes):
-        around = children[parent[i]] if i else [0]
-        place = around.index(i) if len(around) < 400 and i in around else 0
-        kin = [whole[c] for c in around[:400]]
         out[i, :20] = (
             x.depth, math.log1p(whole[i]), math.log1p(own[i]), link[i] / max(whole[i], 1), math.log1p(below[i]),
-            phrases[i] / (below[i] + 1), math.log1p(whole[i] / (below[i] + 1)), place / len(around), math.log1p(len(around)),
-            math.log1p(sum(kin) / len(kin)), whole[i] / max(whole[parent[i]] if i else total, 1), whole[i] / total,
+            phrases[i] / (below[i] + 1), math.log1p(whole[i] / (below[i] + 1)), place[i] / many[i], math.log1p(many[i]),
+            math.log1p(kin[i]), whole[i] / max(whole[parent[i]] if i else total, 1), whole[i] / total,
             mark[i] / max(whole[i], 1) * 20, good[i], bad[i], min(up_good[i], 3), min(up_bad[i], 3), before[i] / total,
             math.log1p(inputs[i]), x.hidden,
         )
