@@ -4,7 +4,9 @@ A text's lattice is the product of the lattices of its units (a blank, written
 as U+2581, and what follows up to the next one), because no piece crosses into
 another unit.  A piece's weight is ``-alpha * log(2 + rank)``; a
 segmentation's probability is proportional to the exponential of the sum of
-its weights.  Characters without a piece become byte pieces.
+its weights.  Characters without a piece become byte pieces, and so does a
+U+2581 that the text itself holds, as only a blank is written by that sign: what
+is decoded is the text.
 
 Gumbel top-k: every segmentation's log probability is perturbed by its own
 Gumbel noise and the k largest are the sample.  The search goes down from the
@@ -65,6 +67,8 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
+        if n > 1 << 16:
+            raise ValueError(f"ids are packed into 16 bits, but {path} has {n} pieces")
         names = [model.id_to_piece(i) for i in range(n)]
         weights = np.zeros(n)
         found, texts = [], [b""] * n
@@ -82,6 +86,8 @@ class Pieces:
         unseen = -alpha * math.log(2 + len(found))
         weights[first : first + 256] = unseen
         hashes = np.array([hash_of(names[i]) for i in found], np.uint64)
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two pieces have the same hash")
         begun = np.array([hash_of(b) for b in {names[i][:n] for i in found for n in range(1, len(names[i]))}], np.uint64)
         order = np.argsort(hashes)
         return cls(hashes[order], begun, np.array(found)[order], weights, first, unseen, max(len(names[i]) for i in found), texts)
@@ -121,6 +127,12 @@ class Lattice:
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         n = len(code)
+        # the sign of a blank inside a unit is the text's own: no piece holds what it counts as here
+        spelt = code
+        inner = code == ord(BLANK)
+        inner[self.starts] = False
+        if inner.any():
+            code = np.where(inner, np.uint64(0x110000), code)
         unit_end = np.repeat(self.ends.astype(np.int32) if n < 2**31 else self.ends, sizes)
         # the piece from each place of each length, in a table whose cells lie in the order of edges
         made = np.zeros((n, pieces.longest), np.int32)
@@ -141,7 +153,7 @@ class Lattice:
             # only where a longer piece begins like this
             live = live[kind > 1]
         lone = np.flatnonzero(made[:, 0] == 0)
-        value = code[lone].astype(np.int32)
+        value = spelt[lone].astype(np.int32)
         made[lone, 0] = np.where(value < 128, pieces.bytes_first + value, WIDE + value)
         cell = np.flatnonzero(made)
         piece = made.ravel()[cell]

@@ -451,6 +451,67 @@ def test_segmentations_follow_their_probabilities(piece_model):
         assert abs(weight[key] / n - prob[key]) < 0.05  # inclusion scores weigh samples back to probabilities
 
 
+def all_segmentations(text, names, alpha):
+    """Every segmentation of a text with its probability, by plain recursion over the vocabulary: the one list of pieces that are words' parts."""
+    listed = [n for i, n in enumerate(names) if i > 258 and "▁" not in n[1:]]
+    weight = {n: -alpha * math.log(2 + rank) for rank, n in enumerate(listed)}
+    bytes_weight = -alpha * math.log(2 + len(listed))
+    units = ["▁" + u for u in text.split(" ")]
+
+    def cut(unit, at):
+        if at == len(unit):
+            return [((), 0.0)]
+        out = []
+        for end in range(at + 1, len(unit) + 1):
+            if unit[at:end] in weight:
+                out += [((unit[at:end], *rest), weight[unit[at:end]] + w) for rest, w in cut(unit, end)]
+        if unit[at] not in weight:
+            spelt = tuple(f"<0x{b:02X}>" for b in unit[at].encode())
+            out += [((*spelt, *rest), bytes_weight * len(spelt) + w) for rest, w in cut(unit, at + 1)]
+        return out
+
+    found = [((), 0.0)]
+    for u in units:
+        found = [(a + b, x + y) for a, x in found for b, y in cut(u, 0)]
+    total = sum(math.exp(w) for _, w in found)
+    return {pieces: math.exp(w) / total for pieces, w in found}
+
+
+@pytest.mark.parametrize("text", ["of it", "an𒀀in", "ab c"])
+def test_segmentations_against_all_of_a_lattice(piece_model, text):
+    import collections
+
+    import pyarrow as pa
+    import sentencepiece
+
+    from tempograph.llm.segmentation import Pieces, _seen, segment
+
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    exact = all_segmentations(text, names, 0.2)
+    assert abs(sum(exact.values()) - 1) < 1e-9 and len(exact) > 3
+    pieces, n, k = Pieces.load(piece_model, 0.2), 5000, 2
+    drawn = collections.defaultdict(dict)
+    for s in segment(pa.array([text] * n), list(range(n)), pieces, _seen(pieces), k):
+        key = tuple(names[i] for i in s.ids.tolist())
+        assert abs(math.exp(s.log_prob) - exact[key]) < 1e-9  # fails for what is no segmentation, too
+        drawn[s.row][s.nth] = key
+    # without replacement: the second is drawn from what the first leaves
+    pairs = collections.Counter((d[0], d[1]) for d in drawn.values())
+    for (a, b), count in pairs.most_common(6):
+        want = exact[a] * exact[b] / (1 - exact[a])
+        assert a != b and abs(count / n - want) < 4.5 * math.sqrt(want / n)
+
+
+def test_segmentations_of_the_sign_for_a_blank(spark, piece_model):
+    from tempograph.llm.segmentation import decode, sample_segmentations
+
+    texts = ["a▁b", "▁", " ▁ x", "▁▁the the▁in", "  a  ", "▁ "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    back = decode(sample_segmentations(frame, piece_model, k=3).withColumnRenamed("doc_id", "key"), piece_model).collect()
+    assert {r.key for r in back} == set(range(len(texts))) and all(r.text == texts[r.key] for r in back)
+
+
 # 7
 
 
