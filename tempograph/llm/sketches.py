@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, whole_text, words_of
+from .common import Scratch, ascii_lower, parallelism, save_bucketed, whole_text, words_of
 
 LOWEST, SPAN = -(2.0**63), 2.0**64
 
@@ -75,21 +75,29 @@ def fingerprints(df: DataFrame, k: int = 128, size: int = 5, id_col: str = "doc_
     return made.withColumn("distinct_shingles", distinct_shingles(F.col("sketch"), k))
 
 
-def beside_next(df: DataFrame, k: int = 128, size: int = 5, span: int = 1024) -> DataFrame:
+def beside_next(df: DataFrame, k: int = 128, size: int = 5, range_bytes: int = 32_000_000) -> DataFrame:
     """Fingerprints of each text and of its mixture with the next document.
 
-    "Next" is by descending (doc_id, text), after the last comes the first;
-    null ids come last.  Rows are dealt by ranges of ``span`` ids, so that the
-    whole texts are shuffled once and no task orders the table; the head of
-    each range (one row of many) reaches the tail of the range before it
-    through a small join on the same key.
+    "Next" is by descending (doc_id, hash of the text, text); null ids come
+    last, after the last row comes the first.  Rows are sorted into ranges of
+    about ``range_bytes`` by id, hash and place in the input, so neither sparse
+    ids nor an id (or none) that many rows have makes a range larger.  The
+    ranges are written bucketed by their number, so the texts are shuffled
+    once; the head of each range (one row of many) reaches the tail of the one
+    before it through a small join, and one task orders the numbers of the
+    ranges, no rows.
     """
-    bucket = F.coalesce(F.floor(F.col("doc_id") / span), F.lit(-(2**62)))
-    docs = df.select(F.col("doc_id").cast("long"), whole_text("text").alias("text")).withColumn("bucket", bucket)
-    down = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text"))
-    dealt = docs.withColumn("place", F.row_number().over(down)).withColumn("below", F.lead("text").over(down))
+    spark = df.sparkSession
+    scratch = Scratch(spark, "sketches")
+    docs = df.select(F.col("doc_id").cast("long"), whole_text("text").alias("text")).withColumn("tie", F.xxhash64("text"))
+    amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(parallelism(spark), -(-amount // range_bytes))
+    along = docs.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(ranges, F.col("doc_id").desc_nulls_last(), "tie", "row")
+    dealt = save_bucketed(scratch, along.drop("row").withColumn("bucket", F.spark_partition_id()), "ranges", "bucket")
+    down = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "tie", "text")
+    dealt = dealt.withColumn("place", F.row_number().over(down)).withColumn("below", F.lead("text").over(down))
     heads = dealt.filter("place = 1").select(F.col("bucket").alias("head_bucket"), F.col("text").alias("head_text"))
-    tails = _followed(docs.select("bucket").distinct())
+    tails = _followed(dealt.select("bucket").distinct())
     heads = tails.join(heads, tails.next_bucket == heads.head_bucket).select("bucket", "head_text")
     heads = heads.withColumn("head_sketch", sketch(shingle_hashes(F.col("head_text"), size), k))
     half = F.floor(F.length("text") / 2).cast("int")
@@ -126,18 +134,7 @@ def beside_next(df: DataFrame, k: int = 128, size: int = 5, span: int = 1024) ->
 
 
 def _followed(buckets: DataFrame) -> DataFrame:
-    """Each bucket with the next lower one, the lowest with the highest.
-
-    Two levels: inside groups of 4096 buckets, then over one row per group.
-    """
-    grouped = buckets.withColumn("far", F.floor(F.col("bucket") / 4096))
-    near = Window.partitionBy("far").orderBy(F.col("bucket").desc())
-    tops = grouped.groupBy("far").agg(F.max("bucket").alias("top"))
-    over = Window.orderBy(F.col("far").desc())
-    whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = tops.select("far", F.coalesce(F.lead("top").over(over), F.first("top").over(whole)).alias("next_top"))
-    return (
-        grouped.withColumn("inner", F.lead("bucket").over(near))
-        .join(tops, "far")
-        .select("bucket", F.coalesce("inner", "next_top").alias("next_bucket"))
-    )
+    """The number of each range with that of the next one that has rows, the last with the first."""
+    order = Window.orderBy("bucket")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return buckets.select("bucket", F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(whole)).alias("next_bucket"))

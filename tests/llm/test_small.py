@@ -205,24 +205,56 @@ def test_lm_odd_rows(odd, empty):
 # 2
 
 
+def check_sharding(frame, shards=16):
+    """The law and the columns against plain Python over the input rows."""
+    from collections import Counter
+
+    from tempograph.llm.sharding import shard
+
+    rows = shard(frame, shards).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    want = Counter((r.doc_id, size(r.text), zlib.crc32((r.text or "").encode())) for r in frame.collect())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    assert all(r.law == "rows" and r.grown_shard is None and 0 <= r.shard < shards for r in rows)
+    per = {}
+    for r in rows:
+        per.setdefault(r.shard, []).append(r.slot)
+    sizes = [len(per.get(s, [])) for s in range(shards)]
+    assert max(sizes) - min(sizes) <= 1
+    assert all(sorted(slots) == list(range(len(slots))) for slots in per.values())
+    return rows
+
+
+def inside(rows):
+    """Pairs of equal texts in one shard."""
+    from collections import Counter
+
+    return sum(n * (n - 1) // 2 for n in Counter((r.text_crc32, r.size, r.shard) for r in rows).values())
+
+
 def test_sharding_law_and_cut(spark, odd, empty, docs):
-    from tempograph.llm.sharding import cut_links, shard
+    from tempograph.llm.sharding import balanced, cut_links, shard
 
     heavy = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"t{i // 4}") for i in range(400)], "doc_id long, text string")
-    for frame in (odd, heavy, docs):
-        rows = shard(frame, 16).collect()
-        assert len(rows) == frame.count()
-        per = {}
-        for r in rows:
-            per.setdefault(r.shard, []).append(r.slot)
-        sizes = [len(per.get(s, [])) for s in range(16)]
-        assert max(sizes) - min(sizes) <= 1
-        assert all(sorted(slots) == list(range(len(slots))) for slots in per.values())
+    # groups on both sides of what counts as hot
+    mixed = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"pair {i // 6}" if i < 900 else f"single {i}") for i in range(4000)], "doc_id long, text string")
+    for frame in (odd, docs):
+        check_sharding(frame)
+    # the best that capacities allow: 1334 copies fill five shards of 250 and part of a sixth
+    best = 5 * 250 * 249 // 2 + 84 * 83 // 2
+    kept = inside([r for r in check_sharding(mixed) if r.text_crc32 == zlib.crc32(b"same")])
+    assert kept > 0.6 * best
+    # circles need no room; what enters a full shard must be left by as much
+    assert balanced([[0, 5, 0], [0, 0, 3], [4, 0, 0]], [0, 0, 0]) == [[0, 3, 0], [0, 0, 3], [3, 0, 0]]
+    assert balanced([[0, 5, 0], [0, 0, 9], [0, 0, 0]], [0, 1, 2]) == [[0, 3, 0], [0, 0, 2], [0, 0, 0]]
     groups = heavy.select("doc_id", F.md5("text").alias("group"))
     cut = cut_links(shard(heavy, 16).select("doc_id", "shard"), groups).first()
     random_shards = heavy.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("shard"))
     assert cut.cut < cut_links(random_shards, groups).first().cut
     assert shard(empty, 16).count() == 0
+    # the same input in another order gives the same shards and slots
+    again = lambda rows: sorted((str(r.doc_id), r.size, r.text_crc32, r.shard, r.slot) for r in rows)
+    assert again(shard(odd, 16).collect()) == again(shard(odd.repartition(3, "extra"), 16).collect())
 
 
 # 3
@@ -356,9 +388,33 @@ def test_broken_markup_takes_linear_time():
 # 5
 
 
-def brute_sketch(spark, text, k):
-    words = (text or "").lower().split()
-    return words[: k]
+def brute_sketch(text, k=128, size=5):
+    """The k least signed hashes of a text's shingles: XXH64 of each word (seed 42), then of the words' hashes in a chain of seeds."""
+    import re
+    import struct
+
+    import xxhash
+
+    def signed(h):
+        return h - 2**64 if h >> 63 else h
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+    hashes = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words]
+    runs = [hashes[i : i + size] for i in range(len(hashes) - size + 1)] or ([hashes] if hashes else [])
+    out = set()
+    for run in runs:
+        h = 42
+        for x in run:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+        out.add(signed(h))
+    return sorted(out)[:k]
+
+
+def brute_likeness(a, b, k=128):
+    if not a and not b:
+        return 1.0
+    union = sorted(set(a) | set(b))[:k]
+    return len(set(union) & set(a) & set(b)) / len(union)
 
 
 def test_sketches_estimate(spark):
@@ -381,21 +437,36 @@ def test_sketches_estimate(spark):
     assert whole.first().same
 
 
-def test_fingerprints_beside_next(spark, odd, empty, docs):
-    from tempograph.llm.sketches import beside_next
+def beside_next_rows(rows):
+    """What the operator must return of (doc_id, text) rows, in order of descending id, hash and text; null ids last."""
+    import xxhash
+
+    def tie(text):
+        h = xxhash.xxh64_intdigest(text.encode(), 42)
+        return h - 2**64 if h >> 63 else h
 
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
-    got = by_id(beside_next(docs, span=7))
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1]), r[1]))
+    out = []
     for at, (i, text) in enumerate(rows):
         following = rows[(at + 1) % len(rows)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
-        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(text)
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    prints = {}
-    for i, text in rows:
-        assert prints.setdefault(text, got[i].fingerprint) == got[i].fingerprint
-    assert beside_next(odd).count() == len(odd_rows())
+        own, changed = brute_sketch(text), brute_sketch(edited)
+        printed = ["".join(f"{h % 2**64:016x}" for h in x) for x in (own, changed)]
+        likeness = [round(brute_likeness(own, x), 9) for x in (changed, brute_sketch(following))]
+        out.append((str(i), len(text), hashlib.sha256(edited.encode()).hexdigest(), *printed, *likeness))
+    return sorted(out)
+
+
+def test_fingerprints_beside_next(spark, odd, empty, docs):
+    from tempograph.llm.sketches import beside_next
+
+    sparse = spark.createDataFrame([(i * 10**15 - 5, f"some words that are here number {i} of them all") for i in range(50)], "doc_id long, text string")
+    same = spark.createDataFrame([(None if i % 3 else 7, f"w{i % 5} and then some more words") for i in range(60)], "doc_id long, text string")
+    for frame, size in ((docs, 100_000), (docs, 10**9), (odd, 50), (sparse, 100), (same, 100)):
+        want = beside_next_rows([(r.doc_id, r.text) for r in frame.collect()])
+        got = beside_next(frame, range_bytes=size).collect()
+        assert want == sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got)
     assert beside_next(empty).count() == 0
 
 
