@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,18 +22,27 @@ class Scratch:
     """Intermediate tables in the folder that the cluster shares.
 
     The folder is ``spark.checkpoint.dir`` of the session; only where that is
-    unset (tests on one machine) is a temporary folder made and set.  Every
+    unset and all runs on one machine is a temporary folder made and set.  Every
     table is written by Spark's committer and read again, so its lineage ends
     there and a lost executor costs nothing but the tasks it was running.
+
+    A result may read its tables for as long as it is used, so they stay until
+    ``sweep`` is called or the driver ends.
     """
 
+    held: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="tempograph-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
+        Scratch.held.append(self)
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
@@ -45,6 +56,28 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        """Free all tables, those in the catalog too."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables.clear()
+        self.drop("")
+
+    @classmethod
+    def sweep(cls, since: int = 0) -> None:
+        """Close what was opened after the first ``since`` ones; nothing may read their tables any more."""
+        for scratch in cls.held[since:]:
+            scratch.close()
+        del cls.held[since:]
+
+
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone before
+        Scratch.sweep()
+
+
+atexit.register(_at_exit)
+
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -114,9 +147,10 @@ def running(df: DataFrame, keys: list[str], order: list[Column], spread: list[Co
     )
 
 
-def save_bucketed(scratch: Scratch, df: DataFrame, name: str, key: str) -> DataFrame:
+def save_bucketed(scratch: Scratch, df: DataFrame, name: str, key: str, codec: str = "zstd") -> DataFrame:
     """A table in the shared folder, bucketed by a key so that joins on it do not move its rows."""
     label = f"{name}_{uuid.uuid4().hex}"
     buckets = parallelism(scratch.spark)
-    df.write.bucketBy(buckets, key).option("path", f"{scratch.root}/{name}").option("compression", "zstd").saveAsTable(label)
+    scratch.tables.append(label)
+    df.write.bucketBy(buckets, key).option("path", f"{scratch.root}/{name}").option("compression", codec).saveAsTable(label)
     return scratch.spark.table(label)

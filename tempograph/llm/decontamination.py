@@ -65,6 +65,8 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     seen: np.ndarray
+    #: no shorter than any item, so that diagonals count from above zero
+    above: int
 
     @classmethod
     def build(cls, items: list[tuple], rate: float) -> Index:
@@ -80,7 +82,7 @@ class Index:
         keys, first = np.unique(gram[order], return_index=True)
         seen = np.zeros(1 << 20, bool)
         seen[_slot(keys)] = True
-        return cls([i for i, _ in pairs], texts, edits, lengths - Q + 1 - Q * edits, keys, np.append(first, len(gram)), item[order], place[order], seen)
+        return cls([i for i, _ in pairs], texts, edits, lengths - Q + 1 - Q * edits, keys, np.append(first, len(gram)), item[order], place[order], seen, max(map(len, texts), default=0))
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, begin, end): the best place of each item in each text."""
@@ -98,7 +100,7 @@ class Index:
         hit = np.repeat(self.first[where], times) + nth
         item = self.item[hit]
         wide = self.edits[item] + 1
-        band = (np.repeat(at, times) - self.place[hit] + 4096 * 1024) // wide
+        band = (np.repeat(at, times) - self.place[hit] + self.above) // wide
         key = item * np.int64(1 << 40) + band
         # a place of the item counts once in a band, however often the text repeats it
         order = np.lexsort((self.place[hit], key))
@@ -118,7 +120,7 @@ class Index:
         for k in passing.tolist():
             i, b = int(item[k]), int(key[k] & ((1 << 40) - 1))
             e, m = int(self.edits[i]), len(self.texts[i])
-            low = b * (e + 1) - 4096 * 1024 - e
+            low = b * (e + 1) - self.above - e
             high = low + 2 * (e + 1) - 1 + 2 * e
             begin, end = max(0, low), min(len(joined), high + m)
             for t in range(int(np.searchsorted(ends, begin, side="right")), len(texts)):
@@ -182,12 +184,14 @@ def contaminated(df: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_b
     """(doc_id, item_id, edits, begin, end) of every benchmark item in every document.
 
     The benchmark is taken in blocks of about ``block_bytes``, one scan of the
-    documents each; no more than a block is ever held by the driver or a task.
+    documents each.  Where there are several, what a block finds is written
+    before the next one is read, so that the driver and a task hold one block.
     Places are byte offsets in the normalised document.
     """
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    scratch = Scratch(df.sparkSession, "contaminated")
     doc_kind, item_kind = df.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     out = None
     for b in range(blocks):
@@ -211,6 +215,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_b
 
         benchmark_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
         part = df.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, edits int, begin long, `end` long")
+        if blocks > 1:
+            part = scratch.save(part, f"block-{b}")
         out = part if out is None else out.union(part)
     return out
 

@@ -19,8 +19,10 @@ on the input.
     earlier one is in its class to the right and to the left of the anchor.
 4.  A bit per window goes back to the chunk, which removes the bytes.
 
-A string that every document holds is one context per chunk, so no task
-receives a row per copy.
+A string that every document holds, with what stands around it, is one context
+per chunk, so no task receives a row per copy.  A short one that stands among
+different words everywhere is a context of its own in each place; those of one
+anchor go to one task.
 
 Null texts count as empty, documents under ``width`` bytes stay whole, null
 ids come last, rows with equal ids are ordered by chunk and place, an empty
@@ -31,7 +33,6 @@ text may begin or end inside a character; as a string, such bytes are dropped.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, parallelism
+from .common import Scratch, give_back, parallelism, save_bucketed
 
 GRAM = 24
 SHALLOW = 32
@@ -229,8 +230,8 @@ class Chunk:
         found, counts = np.unique(self.hash, return_counts=True)
         return found, counts > 1
 
-    def contexts(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the anchors in ``keep``: those first with their context, the others, and each other's first.
+    def contexts(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the anchors in ``keep``: those first with their context, and the others.
 
         A context is the bytes that the anchor's windows cover, with its place among them.
         """
@@ -246,7 +247,7 @@ class Chunk:
             else:
                 seen[key] = i
                 firsts.append(i)
-        return np.array(firsts, np.int64), np.array(copies, np.int64), np.zeros(0)
+        return np.array(firsts, np.int64), np.array(copies, np.int64)
 
 
 def parts_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -402,7 +403,7 @@ def _send(marked: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, chunk in _load(batch, width):
-                first, _, _ = chunk.contexts(_kept(row, chunk))
+                first, _ = chunk.contexts(_kept(row, chunk))
                 if not len(first):
                     continue
                 part = parts_of(chunk.hash[first], row["parts"])
@@ -441,13 +442,11 @@ def _judge(width: int):
         turn = np.lexsort(order_key[::-1])
         mixed = _row_hash(right, left, before, low)
         _, leader = np.unique(mixed[turn], return_index=True)
-        firsts = np.sort(turn[leader])
         where = np.searchsorted(mixed[turn][leader], mixed)
         leads = turn[leader][where]
         same = (leads != np.arange(len(ids))) & (right == right[leads]).all(axis=1) & (left == left[leads]).all(axis=1) & (before == before[leads]) & (low == low[leads])
         flags[same] = (offsets >= low[same, None]) & (offsets <= before[same, None])
         rest = np.flatnonzero(~same)
-        del firsts
         flags[rest] = repeated_windows([k[rest] for k in order_key], before[rest], low[rest], right[rest], left[rest], width)
         packed = np.packbits(flags, axis=1)
         ends = np.cumsum(sizes)
@@ -484,7 +483,7 @@ def _remove(marked: DataFrame, width: int, as_text: bool) -> DataFrame:
         for batch in batches:
             for at, (row, chunk) in enumerate(_load(batch, width)):
                 delta = np.zeros(len(chunk.data) + 1, np.int64)
-                first, copies, _ = chunk.contexts(_kept(row, chunk))
+                first, copies = chunk.contexts(_kept(row, chunk))
                 np.add.at(delta, chunk.first[copies], 1)
                 np.add.at(delta, chunk.last[copies] + width, -1)
                 if len(first):
@@ -524,12 +523,7 @@ def remove_repeats(df: DataFrame, width: int = 100, id_col: str = "doc_id", text
     buckets = parallelism(spark)
     rest = F.struct(F.lit(0).alias("none"), *[F.col(c) for c in carried])
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), rest.alias("rest"))
-    name = f"chunks_{uuid.uuid4().hex}"
-    path = f"{scratch.root}/chunks"
-    (
-        chunked(docs, chunk_bytes).write.bucketBy(buckets, "chunk").option("path", path).option("compression", "none").saveAsTable(name)
-    )
-    chunks = spark.table(name)
+    chunks = save_bucketed(scratch, chunked(docs, chunk_bytes), "chunks", "chunk", "none")
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     parts = max(buckets, -(-total // part_bytes))
     chunks = chunks.withColumn("parts", F.lit(parts))

@@ -15,7 +15,8 @@ text goes into a score.
 Null texts count as empty; empty texts score too.  Rows without an id are
 scored in the fold of remainder 0.  Repeated labels of a document each count;
 null labels and labels without a document are ignored; with no label left the
-seed terms and a fixed curve are used.  Repeated rows each get a score, extra
+seed terms and a fixed curve are used.  A seed term that ``support`` training
+documents hold has the weight that their labels give it, or none.  Repeated rows each get a score, extra
 columns are ignored.
 """
 
@@ -180,7 +181,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
             if holds.get(term[:n], 0) and holds[term] >= 0.9 * holds[term[:n]]:
                 weights.pop(term[:n], None)
     chosen = {t: w for t, w in weights.items() if not any(weights.get(t[:n], -math.inf) >= w for n in range(3, len(t)))}
-    lexicon = Lexicon(plain.terms | chosen)
+    seen = {r["term"] for r in counted.filter(F.col("term").isin(*plain.terms) & (F.col("a") + F.col("b") >= support)).collect()}
+    lexicon = Lexicon({t: w for t, w in plain.terms.items() if t not in seen} | chosen)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()

@@ -702,6 +702,19 @@ def test_decontamination_tables(spark, docs, odd, empty):
     assert decontaminated(odd, none).count() == len(odd_rows())
 
 
+def test_decontamination_of_repeated_rows_and_long_items(spark):
+    from tempograph.llm.decontamination import contaminated
+
+    r = random.Random(3)
+    long_item = " ".join(f"w{r.randrange(10**7)}" for _ in range(560_000))  # over 4 MB
+    assert len(long_item) > 4 << 20
+    short = "a passage of the benchmark that is not long"
+    bench = spark.createDataFrame([(1, short), (2, short), (3, long_item)], "item_id long, text string")
+    rows = [(1, f"x {short} y"), (1, f"x {short} y"), (None, short.upper()), (2, f"before it {long_item} after it"), (3, "nothing of it")]
+    got = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_bytes=100_000_000).collect()
+    assert sorted((str(x.doc_id), x.item_id, x.edits) for x in got) == [("1", 1, 0), ("1", 1, 0), ("1", 2, 0), ("1", 2, 0), ("2", 3, 0), ("None", 1, 0), ("None", 2, 0)]
+
+
 def test_decontamination_judges_rows_not_ids(spark):
     from tempograph.llm.decontamination import decontaminated
 
