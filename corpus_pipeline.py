@@ -66,8 +66,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
+    opened = len(Scratch.held)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.save(docs, name)
+            Scratch.sweep(opened)  # what the stage held
+            if k:
+                scratch.drop(STAGES[k - 1][0])
     return docs
