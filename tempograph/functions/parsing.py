@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .text import normalize_name, tokens
 
 # Names that results are compared with.
-CATEGORIES = {"single-session-user": "extraction", "multi-session": "reasoning", "temporal-reasoning": "temporal", "knowledge-update": "update"}
+CATEGORIES = {"multi-session": "MultiSession", "knowledge-update": "KnowledgeUpdate", "temporal-reasoning": "TemporalReasoning"}
 RATES = {"gpt-4o-mini": (0.15, 0.60), "gpt-4o": (2.50, 10.0), "*": (1.0, 2.0)}
 
 
@@ -47,11 +47,11 @@ def exact_match(expected: Column, given: Column, fold: bool = True) -> Column:
 
 
 def category(question_type: Column, question_id: Column) -> Column:
-    """Abstention first, then by type; others as they are."""
-    out = F.when(question_id.endswith("_abs"), "abstention")
+    """Abstention first, then by type; every other type, the single-session ones too, is extraction."""
+    out = F.when(question_id.endswith("_abs"), "Abstention")
     for kind, name in CATEGORIES.items():
         out = out.when(question_type == kind, name)
-    return out.otherwise(question_type)
+    return out.otherwise("InformationExtraction")
 
 
 def rate(model: Column, which: int) -> Column:

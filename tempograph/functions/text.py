@@ -9,24 +9,45 @@ from pyspark.sql import functions as F
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 INITIALISM_STOP = ("of", "and", "the", "for")
 RESERVED_PREDICATES = ("potential_alias",)
-RELATIONAL_CUES = ("related to", "connected", "relationship", "between", "works with", "knows")
-BROAD_CUES = ("everything", "all about", "tell me about", "overview", "summary", "summarize")
-FACTUAL_CUES = ("who", "what", "when", "where", "which", "how many")
+RELATIONAL_CUES = (
+    "relationship between", "connection between", "related to", "relate to", "how does it relate", "how do they relate",
+    "connected to", "link between", "links between", "association between", "how are they connected",
+)
+BROAD_CUES = (
+    "what do we know", "what do you know", "tell me about", "tell me everything", "everything about", "everything we know",
+    "give me an overview", "overview of", "summarise", "summarize", "summary of",
+)
+FACTUAL_CUES = (
+    "what is", "what are", "what was", "what were", "what's", "who is", "who are", "who was", "who were", "who's",
+    "when is", "when was", "when did", "where is", "where was", "where did", "which ", "how many", "how much", "how old",
+)
 INJECTIONS = (
-    r"(?i)ignore (all |any )?(previous|prior|above) instructions",
-    r"(?i)disregard (all |any )?(previous|prior|above)",
-    r"(?i)you are now [a-z]+",
-    r"(?i)system prompt",
-    r"<\|[a-z_]+\|>",
-    r"(?i)\[/?inst\]",
+    r"(?i)ignore\s+(?:previous|all|the\s+(?:above|following|prior))\s+instructions?",
+    r"(?i)disregard\s+(?:the\s+)?(?:above|previous|prior|following)",
+    r"(?i)forget\s+(?:your\s+)?(?:instructions?|context|rules?|system\s+prompt)",
+    r"(?i)(?:new|updated?)\s+(?:instruction|directive|system\s+prompt|objective)\s*:",
+    r"(?im)^\s*(?:you\s+are\s+now|act\s+as|pretend\s+(?:you\s+are|to\s+be))\s+(?:a\s+)?(?:different|new\s+)?\w+",
+    r"(?im)^\s*system\s*:",
+    r"(?im)^\s*user\s*:",
+    r"(?im)^\s*assistant\s*:",
+    r"<\|im_start\|>",
+    r"<\|im_end\|>",
+    r"<\|system\|>",
+    r"<\|user\|>",
+    r"<\|assistant\|>",
+    r"```",
+    r"---END---",
+    r"(?i)</\s*(?:prompt|system|instruction|context)\s*>",
+    r"(?i)<\s*(?:prompt|system|instruction|context)\s*>",
 )
 SECRETS = (r"AKIA[0-9A-Z]{16}", r"(?i)(password|passwd|secret|token|api[_-]?key)\s*[:=]\s*\S+", r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters, digits and underscores."""
-    words = F.split(F.lower(text), r"\s+")
-    return F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")), lambda w: w != "")
+    # what is no part of a word goes from the whole text at once, which is one pass and no function call per word
+    kept = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", "")
+    return F.filter(F.split(kept, r"\s+"), lambda w: w != "")
 
 
 def normalize_name(name: Column) -> Column:
@@ -89,7 +110,15 @@ def lemma_equal(a: Column, b: Column) -> Column:
 
 
 def intent(query: Column) -> Column:
-    has = lambda cues: F.lower(query).rlike("|".join(cues))
+    """By the first cue found, in the order Relational, Broad, Factual; Broad without any."""
+    lowered = F.lower(query)
+
+    def has(cues: tuple[str, ...]) -> Column:
+        found = F.lit(False)
+        for cue in cues:
+            found = found | F.contains(lowered, F.lit(cue))
+        return found
+
     return F.when(has(RELATIONAL_CUES), "Relational").when(has(BROAD_CUES), "Broad").when(has(FACTUAL_CUES), "Factual").otherwise("Broad")
 
 
@@ -110,8 +139,9 @@ def name_rejection(name: Column) -> Column:
 
 
 def redacted(text: Column, patterns: tuple[str, ...] = INJECTIONS) -> Column:
+    """Every match of every pattern, in their order; a line begins after a line feed only."""
     for p in patterns:
-        text = F.regexp_replace(text, p, "[REDACTED]")
+        text = F.regexp_replace(text, p.replace("(?im)", "(?imd)"), "[REDACTED]")
     return text
 
 
@@ -166,7 +196,9 @@ def group_key(namespace: Column, thread: Column) -> Column:
 
 
 def fact_hash(subject: Column, predicate: Column, object_: Column) -> Column:
-    return F.sha2(F.concat(subject, F.lit("\0"), predicate, F.lit("\0"), object_), 256)
+    """The hash of a triple; a missing part counts as empty, so no hash is null."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    return F.sha2(F.concat(part(subject), F.lit("\0"), part(predicate), F.lit("\0"), part(object_)), 256)
 
 
 def canonical_type(name: Column) -> Column:

@@ -8,13 +8,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see; one of this machine only where all runs on it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tempograph-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder of the session."""
     spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tempograph-")
-        context.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -24,14 +33,23 @@ def undirected(edges: DataFrame, a: str = "subject_id", b: str = "object_id") ->
     return one.union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
 
 
-def expand(links: DataFrame, seeds: DataFrame, hops: int, cap: int | None = None) -> DataFrame:
-    """(seed, node, depth) of all nodes within so many hops; with a cap, the nearest of each seed by depth and id."""
-    reached = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"))
+def expand(edges: DataFrame, seeds: DataFrame, hops: int, cap: int | None = None) -> DataFrame:
+    """(seed, node, depth) of all nodes within so many hops of (src, dst) edges, taken both ways; with a cap, the nearest of each seed by depth and id.
+
+    Each hop reads only the edges at the frontier: the frontier joins both
+    ends of the edges, so no undirected copy of the graph is made.
+    """
+    reached = kept(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")))
     front = reached
     for depth in range(1, hops + 1):
-        step = front.join(links, front.node == links.src).select("seed", F.col("dst").alias("node")).distinct()
-        front = kept(step.join(reached, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        reached = kept(reached.unionByName(front))
+        out = front.join(edges, front.node == edges.src).select("seed", F.col("dst").alias("node"))
+        back = front.join(edges, front.node == edges.dst).select("seed", F.col("src").alias("node"))
+        step = out.union(back).distinct().join(reached, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        if depth < hops:
+            front = kept(step)
+            reached = reached.unionByName(front)
+        else:
+            reached = reached.unionByName(step)
     if cap is not None:
         place = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "node"))
         reached = reached.withColumn("_place", place).filter(F.col("_place") <= cap).drop("_place")
@@ -106,22 +124,34 @@ def label_propagation(links: DataFrame, rounds: int = 50) -> DataFrame:
     return labels
 
 
-def cooccurrence(mentions: DataFrame, episode: str = "episode_id", entity: str = "entity_id", widest: int = 1000) -> DataFrame:
-    """(a, b, weight): entities mentioned in the same episodes, a < b.
+def pairs_within(members: DataFrame, group: str, member: str, widest: int = 1000) -> DataFrame:
+    """(a, b, group) of all members of the same group, a < b.
 
-    An episode of m entities has m (m - 1) / 2 pairs; those wider than
-    ``widest`` are spread over their members' hash, so no task holds one.
+    A group of m members has m (m - 1) / 2 pairs, which are the result.  Groups
+    of up to ``widest`` members are joined in one piece.  The members of a
+    wider one are dealt by hash into cells of about ``widest``, and each pair
+    of cells is a key of its own: no task holds the group, and each member is
+    sent to as many tasks as the group has cells.
     """
-    own = mentions.select(F.col(episode).alias("e"), F.col(entity).alias("x")).distinct()
-    a, b = own.withColumnRenamed("x", "a"), own.withColumnRenamed("x", "b")
-    return a.join(b, "e").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    own = members.select(F.col(group).alias("g"), F.col(member).alias("x")).distinct()
+    cells = own.groupBy("g").agg(F.ceil(F.count("*") / widest).cast("int").alias("cells"))
+    sized = own.join(cells, "g").withColumn("cell", F.pmod(F.xxhash64("x"), F.col("cells")).cast("int"))
+    sent = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    sent = sent.select("g", "x", "cell", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"))
+    left, right = sent.withColumnRenamed("x", "a").withColumnRenamed("cell", "ca"), sent.withColumnRenamed("x", "b").withColumnRenamed("cell", "cb")
+    both = left.join(right, ["g", "low", "high"]).filter("a < b")
+    # a pair inside one cell belongs to that cell alone
+    return both.filter("ca <> cb or low = high").select("a", "b", "g")
+
+
+def cooccurrence(mentions: DataFrame, episode: str = "episode_id", entity: str = "entity_id", widest: int = 1000) -> DataFrame:
+    """(a, b, weight): entities mentioned in the same episodes, a < b; wide episodes are spread as in ``pairs_within``."""
+    return pairs_within(mentions, episode, entity, widest).groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
-def shared_neighbours(links: DataFrame) -> DataFrame:
-    """(a, b, shared): pairs of nodes with common neighbours, a < b."""
-    a = links.select(F.col("src").alias("a"), F.col("dst").alias("via"))
-    b = links.select(F.col("src").alias("b"), F.col("dst").alias("via"))
-    return a.join(b, "via").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+def shared_neighbours(links: DataFrame, widest: int = 1000) -> DataFrame:
+    """(a, b, shared): pairs of nodes with common neighbours, a < b; hubs are spread as in ``pairs_within``."""
+    return pairs_within(links, "dst", "src", widest).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def degree(links: DataFrame) -> DataFrame:

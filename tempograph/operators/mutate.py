@@ -66,8 +66,10 @@ def merge(facts: DataFrame, merged: DataFrame, log_id: int, at: Column) -> tuple
     """Facts after losers became keepers, and the log rows that undo it."""
     from .resolve import repoint
 
-    s = merged.select(F.col("loser").alias("_l"))
-    touched = facts.join(s, (facts.subject_id == s._l) | (facts.object_id == s._l), "left_semi")
+    # one equi-join per end, not one join on either
+    s = merged.select(F.col("loser").alias("_l")).distinct()
+    ids = facts.join(s, facts.subject_id == s._l, "left_semi").select("id").union(facts.join(s, facts.object_id == s._l, "left_semi").select("id"))
+    touched = facts.join(ids.distinct(), "id", "left_semi")
     log = touched.select(F.lit(log_id).alias("log_id"), F.lit("merge").alias("kind"), F.to_json(F.struct("id", "subject_id", "object_id", F.col("expired_at").cast("string").alias("expired_at"))).alias("pre_state"))
     after = repoint(facts, merged)
     return after.withColumn("expired_at", F.when(F.col("loops") & F.col("expired_at").isNull(), at).otherwise(F.col("expired_at"))).drop("loops"), log
@@ -100,8 +102,8 @@ def blocked(policy: Column) -> Column:
     return policy == "AppendOnly"
 
 
-def patched(metadata: Column, patch: dict[str, str]) -> Column:
+def patched(metadata: Column, patch: dict[str, str | Column]) -> Column:
     """Top-level keys overwritten; other keys stay."""
     whole = F.from_json(F.coalesce(metadata, F.lit("{}")), "map<string,string>")
-    new = F.create_map(*[F.lit(x) for kv in patch.items() for x in kv])
+    new = F.create_map(*[x if isinstance(x, Column) else F.lit(x) for kv in patch.items() for x in kv])
     return F.to_json(F.map_concat(F.map_filter(whole, lambda k, v: ~k.isin(*patch)), new))

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempograph.config import DEFAULT, Config
 from tempograph.functions import text
 from tempograph.functions.scoring import noisy_or
+from tempograph.functions.vector import cosine
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, blocks: int = 8, digits: int = 6) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None, digits: int = 6, block_bytes: int = 64_000_000) -> DataFrame:
     """(a, b, score) of all pairs a < b above a cosine, exactly.
 
-    Vectors are dealt into blocks by hash; a task compares one pair of blocks
-    by a matrix product.  Each vector is sent to as many tasks as there are
-    blocks, and no pair under the threshold leaves its task.  Choose ``blocks``
-    so that two blocks fit a task.
+    Vectors are dealt into blocks of about ``block_bytes`` by hash; a task
+    compares one pair of blocks by a matrix product.  Each vector is sent to as
+    many tasks as there are blocks, and no pair under the threshold leaves its
+    task.  This is exact and so quadratic in compute; ``nearest`` is the way
+    for more vectors than that allows.
     """
+    if blocks is None:
+        size = vectors.agg(F.coalesce(F.sum(F.size("embedding").cast("long") * 8), F.lit(0))).first()[0]
+        blocks = max(4, -(-size // block_bytes))
     kind = vectors.schema["id"].dataType.simpleString()
     own = vectors.filter("embedding is not null").select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
     sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -49,11 +55,12 @@ def similar_pairs(vectors: DataFrame, threshold: float, blocks: int = 8, digits:
 
 
 def lsh_keys(vectors: DataFrame, tables: int = 16, bits: int = 12, seed: int = 3) -> DataFrame:
-    """(id, key): random-hyperplane keys, for candidates where all pairs are too many; verify what they yield."""
+    """(id, key): random-hyperplane keys, one per table."""
     kind = vectors.schema["id"].dataType.simpleString()
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
+            rows = rows[rows["embedding"].notna()]
             if not len(rows):
                 continue
             matrix = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
@@ -65,6 +72,31 @@ def lsh_keys(vectors: DataFrame, tables: int = 16, bits: int = 12, seed: int = 3
     return vectors.select("id", "embedding").mapInPandas(sign, f"id {kind}, key long")
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 24, bits: int | None = None, digits: int = 6, floor: int = 3) -> DataFrame:
+    """(id, other_id, score, rank): the k nearest vectors of each query among those that share a key with it, verified by cosine.
+
+    ``bits`` grow with the number of vectors, so that a key holds a few dozen
+    whatever the size.  A query for which the keys bring fewer than ``floor``
+    times k candidates is compared with every vector instead (the fallback).
+    """
+    if bits is None:
+        bits = max(2, int(math.log2(max(vectors.count(), 2) / 48) + 1))
+    v = vectors.filter("embedding is not null")
+    keys = lsh_keys(v, tables, bits)
+    asked = queries.select("id").join(keys, "id").select(F.col("id").alias("q"), "key")
+    met = asked.join(keys, "key").filter("q <> id").select("q", F.col("id").alias("other_id")).distinct()
+    enough = met.groupBy("q").agg(F.count("*").alias("n")).filter(F.col("n") >= floor * k).select("q")
+    few = queries.select(F.col("id").alias("q")).join(enough, "q", "left_anti")
+    every = few.join(v.select(F.col("id").alias("other_id")), F.col("q") != F.col("other_id"))
+    pairs = met.join(enough, "q", "left_semi").unionByName(every)
+    a = queries.select(F.col("id").alias("q"), F.col("embedding").alias("_a"))
+    b = v.select(F.col("id").alias("other_id"), F.col("embedding").alias("_b"))
+    scored = pairs.join(b, "other_id").join(a, "q").withColumn("score", F.round(cosine(F.col("_a"), F.col("_b")), digits)).filter("score is not null")
+    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "other_id")
+    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias("id"), "other_id", "score", "rank")
+
+
 def classify(cosine: Column, lexical: Column, floor_ok: Column, config: Config = DEFAULT) -> Column:
     """Merge, PotentialAlias or New."""
     return (

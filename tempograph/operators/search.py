@@ -2,33 +2,93 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempograph.config import DEFAULT, Config
 from tempograph.functions import scoring, vector
 from tempograph.functions.text import tokens
+from tempograph.operators.graph import shared_folder
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
-def _count(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == F.lit(term)))
+class TextIndex:
+    """Postings of a text column: one row per term and document, sorted by term, and one slim row per document.
+
+    Both are Parquet in the shared folder.  A search reads the row groups of
+    its terms alone (their statistics prune the others) and never the texts.
+    ``carried`` columns stand in both, for filters.
+    """
+
+    def __init__(self, postings: DataFrame, docs: DataFrame):
+        self.postings, self.docs = postings, docs
+
+    @classmethod
+    def build(cls, docs: DataFrame, text: str = "content", carried: tuple[str, ...] = (), parts: int | None = None) -> TextIndex:
+        spark = docs.sparkSession
+        root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        keys = ["id", *carried]
+        # words one by one, so that what is shuffled is (term, document) with its count
+        words = docs.select(*keys, tokens(F.col(text)).alias("_words"))
+        counted = words.select(*keys, F.size("_words").alias("length"), F.explode("_words").alias("term"))
+        counted = counted.groupBy(*keys, "length", "term").agg(F.count("*").alias("tf"))
+        parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = counted.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id")
+        spread.write.option("parquet.block.size", 8 << 20).parquet(f"{root}/postings")
+        words.select(*keys, F.size("_words").alias("length")).write.parquet(f"{root}/docs")
+        return cls(spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/docs"))
+
+    def where(self, condition: Column) -> TextIndex:
+        """The index of the documents that meet a condition on the carried columns."""
+        return TextIndex(self.postings.filter(condition), self.docs.filter(condition))
+
+    def search(self, terms: list[str], any_term: bool = False, digits: int = 6) -> DataFrame:
+        """Documents that hold all terms (or any), with their BM25 score: id, the carried columns, score."""
+        terms = list(dict.fromkeys(terms))
+        keys = [c for c in self.docs.columns if c != "length"]
+        if not terms:
+            return self.docs.select(*keys, F.lit(0.0).alias("score")).limit(0)
+        held = self.postings.filter(F.col("term").isin(*terms))
+        counts = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"_tf{i}") for i, t in enumerate(terms)]
+        found = held.groupBy(*keys, "length").agg(*counts)
+        sizes = self.docs.agg(F.count("*").alias("_n"), F.avg("length").alias("_mean"))
+        frequencies = held.agg(*[F.coalesce(F.sum((F.col("term") == t).cast("long")), F.lit(0)).alias(f"_df{i}") for i, t in enumerate(terms)])
+        stats = sizes.crossJoin(frequencies)  # one row each
+        score: Column = F.lit(0.0)
+        for i in range(len(terms)):
+            tf, df = F.col(f"_tf{i}"), F.col(f"_df{i}")
+            idf = F.greatest(F.log((F.col("_n") - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
+            score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("_mean")))
+        if not any_term:
+            for i in range(len(terms)):
+                found = found.filter(F.col(f"_tf{i}") > 0)
+        return found.crossJoin(F.broadcast(stats)).select(*keys, F.round(score, digits).alias("score"))
+
+    def ladder(self, terms: list[str]) -> DataFrame:
+        """All terms first; any term only when no document holds all."""
+        every, some = self.search(terms), self.search(terms, any_term=True)
+        hits = every.limit(1).agg(F.count("*").alias("_hits"))
+        return every.unionByName(some.crossJoin(F.broadcast(hits)).filter("_hits = 0").drop("_hits"))
 
 
 def bm25(docs: DataFrame, terms: list[str], text: str = "content", any_term: bool = False, digits: int = 6) -> DataFrame:
-    """Documents that hold all terms (or any), with their BM25 score.
+    """The same without an index: documents with their BM25 score, by one pass over the texts.
 
-    Only counts of the query's terms and the length leave a row; the corpus
-    statistics are one row.  Nothing is shuffled by word.
+    Only counts of the query's terms and the length leave a row.  Words stand
+    between blanks of their own, so that counts are plain string operations.
     """
     terms = list(dict.fromkeys(terms))
-    words = docs.withColumn("_words", tokens(F.col(text)))
-    counted = words.select(
-        *docs.columns,
-        F.size("_words").alias("_length"),
-        *[_count(F.col("_words"), t).alias(f"_tf{i}") for i, t in enumerate(terms)],
-    )
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " ")), " ", "  "), F.lit(" "))
+
+    def times(part: str) -> Column:
+        return ((F.length("_spaced") - F.length(F.replace(F.col("_spaced"), F.lit(part), F.lit("")))) / len(part)).cast("long")
+
+    words = docs.withColumn("_spaced", spaced)
+    length = F.when(F.trim("_spaced") == "", 0).otherwise(times("  ") + 1)
+    counted = words.select(*docs.columns, length.alias("_length"), *[times(f" {t} ").alias(f"_tf{i}") for i, t in enumerate(terms)])
     stats = counted.agg(
         F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(terms))]
     )
@@ -56,11 +116,11 @@ def head(hits: DataFrame, k: int, *ties: str) -> DataFrame:
     return hits.orderBy(F.col("score").desc(), *(ties or ("id",))).limit(k)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query: DataFrame, k: int, config: Config = DEFAULT, weights: tuple[float, float] | None = None, rrf_k: float | None = None) -> DataFrame:
-    """Three times k from each arm, fused by rank, the best k."""
+def hybrid(hits: DataFrame, vectors: DataFrame, query: DataFrame, k: int, config: Config = DEFAULT, weights: tuple[float, float] | None = None, rrf_k: float | None = None) -> DataFrame:
+    """Three times k of the text hits and of the nearest vectors, fused by rank, the best k."""
     w = weights or (1.0, 1.0)
     best = [F.col("score").desc(), F.col("id")]
-    words = scoring.ranked(head(bm25(docs, terms), 3 * k).select("id", "score"), ["id"], best)
+    words = scoring.ranked(head(hits, 3 * k).select("id", "score"), ["id"], best)
     near = scoring.ranked(vector.top_k(vectors, query, 3 * k).select("id", "score"), ["id"], best)
     return head(scoring.rrf([(words, w[0]), (near, w[1])], ["id"], rrf_k if rrf_k is not None else config.hybrid_rrf_k), k)
 
@@ -80,3 +140,29 @@ def rerank(hits: DataFrame, scorer: Column, k: int) -> DataFrame:
     again = placed.withColumn("_model", F.when(F.col("_place") <= k, scorer))
     order = Window.orderBy(F.col("_model").desc_nulls_last(), "_place")
     return again.withColumn("rank", F.row_number().over(order).cast("long")).drop("_place", "_model")
+
+
+def containing(docs: DataFrame, text: str, passages: DataFrame, passage: str, run: int = 5) -> DataFrame:
+    """Documents (with a column ``id``) joined with the passages that they hold as substrings.
+
+    All but a passage's first and last word are whole words of a text that
+    holds it.  A passage is keyed by the first ``run`` of those, or by the
+    longest of fewer; documents meet it by that key and are compared then.
+    Passages of two words or fewer, which have none, are compared with every
+    document.  Words are what stands between blanks.
+    """
+    words = F.split(F.col(passage), " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    keyed = passages.withColumn("_inner", inner)
+    longest = F.reduce("_inner", F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    long_ = keyed.filter(F.size("_inner") >= run).withColumn("_key", F.xxhash64(F.array_join(F.slice("_inner", 1, run), " "))).drop("_inner")
+    short = keyed.filter((F.size("_inner") > 0) & (F.size("_inner") < run)).withColumn("_key", F.xxhash64(longest)).drop("_inner")
+    rest = keyed.filter(F.size("_inner") == 0).drop("_inner")
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - (run - 1)), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, run), " ")))
+    having = docs.select("id", F.split(F.col(text), " ").alias("_w"))
+    by_run = having.filter(F.size("_w") >= run).select("id", F.explode(F.array_distinct(runs)).alias("_key"))
+    by_word = having.select("id", F.explode(F.array_distinct(F.transform("_w", lambda w: F.xxhash64(w)))).alias("_key"))
+    # only ids and keys are shuffled; texts join the few pairs that met
+    met = by_run.join(long_, "_key").unionByName(by_word.join(short, "_key")).drop("_key")
+    holds = F.contains(F.col(text), F.col(passage))
+    return docs.join(met, "id").filter(holds).unionByName(docs.join(rest, holds))

@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempograph.config import DEFAULT, Config
 from tempograph.functions import scoring
 from tempograph.functions.temporal import latest
 from tempograph.operators import search
-from tempograph.sources.adapters import episodes, raw, vectors
+from tempograph.operators.graph import kept
 
 
-def contextualize(spark: SparkSession, sf_dir: str, terms: list[str], config: Config = DEFAULT) -> DataFrame:
+def contextualize(docs: DataFrame, hits: DataFrame, vectors: DataFrame, query: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(id, score): the fused seeds with their boosts, and what lies beside them at half their score.
 
+    ``hits`` are the text search's (id, score).  The seeds, at most ``top_k``
+    rows, are written before they are used, so that both searches run once.
     Episodes of the same source and namespace are neighbours, as many of each
-    seed as the fan-out allows.  The seeds are a handful of rows.
+    seed as the fan-out allows.
     """
-    docs, query = episodes(spark, sf_dir), raw(spark, sf_dir, "embeddings").filter("vec_id = 0").select(F.col("embedding").cast("array<double>").alias("query_embedding"))
-    seeds = search.hybrid(docs, vectors(spark, sf_dir), terms, query, config.top_k, weights=(config.bm25_weight, config.vector_weight), rrf_k=config.rrf_k)
-    seeds = scoring.min_max(seeds)
-    return spread(seeds, neighbours(seeds.select("id"), docs, config.fan_out_cap), config)
+    seeds = search.hybrid(hits, vectors, query, config.top_k, weights=(config.bm25_weight, config.vector_weight), rrf_k=config.rrf_k)
+    seeds = kept(scoring.min_max(kept(seeds)))
+    return spread(seeds, kept(neighbours(seeds.select("id"), docs, config.fan_out_cap)), config)
 
 
 def neighbours(seeds: DataFrame, docs: DataFrame, cap: int) -> DataFrame:

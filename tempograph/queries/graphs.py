@@ -16,17 +16,22 @@ def seeds(spark, ids):
     return spark.createDataFrame([(i,) for i in ids], "node string")
 
 
+def ends(rows):
+    """Edges as (src, dst), neither doubled nor deduplicated."""
+    return rows.select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"))
+
+
 def bfs_1hop(spark, sf):
-    return graph.expand(links(spark, sf), seeds(spark, ["p:7", "s:3"]), 1)
+    return graph.expand(ends(edges(spark, sf).filter("active")), seeds(spark, ["p:7", "s:3"]), 1)
 
 
 def bfs_2hop_asof(spark, sf):
     live = edges(spark, sf).filter(F.col("active") & (F.col("valid_from") <= F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")))
-    return graph.expand(graph.undirected(live), seeds(spark, ["p:7"]), 2)
+    return graph.expand(ends(live), seeds(spark, ["p:7"]), 2)
 
 
 def fanout_cap(spark, sf):
-    return graph.expand(links(spark, sf), seeds(spark, ["p:7", "s:3"]), 2, cap=8)
+    return graph.expand(ends(edges(spark, sf).filter("active")), seeds(spark, ["p:7", "s:3"]), 2, cap=8)
 
 
 def reachable_dependents(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempograph.functions import scoring, text
+from tempograph.operators import search, windows
 from tempograph.sources.adapters import EPISODES_SQL, FACTS_SQL, episodes, facts, raw, with_sql
 
 from .scalar import tok
@@ -56,10 +57,7 @@ def ndcg_at_10(spark, sf):
 def percentiles(spark, sf):
     """The value at a rounded place of the sorted list, by event type."""
     e = raw(spark, sf, "events").select("event_type", "value")
-    order, whole = Window.partitionBy("event_type").orderBy("value"), Window.partitionBy("event_type")
-    placed = e.withColumn("k", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(whole))
-    pick = lambda p: F.max(F.when(F.col("k") == F.floor((F.col("n") - 1) * p / 100 + 0.5), F.col("value")))
-    return placed.groupBy("event_type").agg(F.max(F.when(F.col("k") == F.floor(F.col("n") / 2), F.col("value"))).alias("p50"), pick(95).alias("p95"))
+    return windows.values_at(e, "event_type", "value", {"p50": F.floor(F.col("n") / 2), "p95": F.floor((F.col("n") - 1) * 95 / 100 + 0.5)})
 
 
 def mean_and_sd(spark, sf):
@@ -81,16 +79,15 @@ def access_counts(spark, sf):
 
 
 def budget_ledger(spark, sf):
-    order = Window.partitionBy("source_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    e = episodes(spark, sf).withColumn("spent", F.sum(F.octet_length("content").cast("long")).over(order))
+    e = windows.running_sum(episodes(spark, sf).select("id", "source_id", F.octet_length("content").cast("long").alias("size")), ["source_id"], "id", F.col("size"), "spent")
     return e.select("id", "source_id", "spent", (F.col("spent") > 50_000).alias("over"))
 
 
 def fuzzy_matches(spark, sf):
-    """Benchmark passages that an episode of the same length class holds, in any case."""
+    """Benchmark passages that an episode holds, in any case."""
     b = raw(spark, sf, "benchmark").select("item_id", F.lower("text").alias("passage"))
     e = episodes(spark, sf).select("id", F.lower("content").alias("low"))
-    return e.join(F.broadcast(b), F.col("low").contains(F.col("passage"))).select("id", "item_id")
+    return search.containing(e, "low", b, "passage").select("id", "item_id")
 
 
 TA, TB = f"list_distinct({tok('other')})", f"list_distinct({tok('text')})"

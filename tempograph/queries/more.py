@@ -27,7 +27,7 @@ def fenced_json(spark, sf):
 
 
 def session_dates(spark, sf):
-    stamp = F.concat(((F.col("event_id") % 12) + 1).cast("string"), F.lit(":05 pm on "), ((F.col("event_id") % 28) + 1).cast("string"), F.lit(" May, 2023"))
+    stamp = F.concat(((F.col("event_id") % 12) + 1).cast("string"), F.when(F.col("event_id") % 2 == 0, ":05 pm on ").otherwise(":05 AM on "), ((F.col("event_id") % 28) + 1).cast("string"), F.lit(" "), F.element_at(F.array(*[F.initcap(F.lit(m)) for m in text.MONTHS]), (F.col("event_id") % 11 + 1).cast("int")), F.lit(", 2023"))
     given = F.when(F.col("event_id") % 10 == 0, "next tuesday").otherwise(stamp)
     return raw(spark, sf, "events").select("event_id", parsing.session_date(given).alias("at"))
 
@@ -56,9 +56,11 @@ def idempotency_keys(spark, sf):
 
 def question_categories(spark, sf):
     e = raw(spark, sf, "events")
-    kind = F.when(F.col("user_id") % 3 == 0, "multi-session").when(F.col("user_id") % 3 == 1, "temporal-reasoning").otherwise("other")
+    kinds = ("multi-session", "temporal-reasoning", "knowledge-update", "single-session-user", "single-session-assistant", "single-session-preference", "other")
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("user_id") % 7 + 1).cast("int"))
+    asked = F.element_at(F.array(F.lit("temporal"), F.lit("multi-hop"), F.lit("open-domain")), (F.col("event_id") % 3 + 1).cast("int"))
     qid = F.when(F.col("event_id") % 5 == 0, F.concat(F.col("event_id").cast("string"), F.lit("_abs"))).otherwise(F.col("event_id").cast("string"))
-    return e.select("event_id", parsing.category(kind, qid).alias("category"), parsing.recall_limit(F.col("event_type")).cast("long").alias("k"))
+    return e.select("event_id", parsing.category(kind, qid).alias("category"), parsing.recall_limit(asked).cast("long").alias("k"))
 
 
 def shouted_words(spark, sf):
@@ -76,7 +78,7 @@ def mutation_log(spark, sf):
 
 
 def metadata_patch(spark, sf):
-    e = raw(spark, sf, "events").select("event_id", mutate.patched(F.col("props"), {"source": "x"}).alias("m"))
+    e = raw(spark, sf, "events").select("event_id", mutate.patched(F.col("props"), {"source": F.concat(F.lit("s"), (F.col("event_id") % 9).cast("string"))}).alias("m"))
     return e.select("event_id", F.get_json_object("m", "$.source").alias("source"), F.get_json_object("m", "$.k").cast("bigint").alias("k"))
 
 
@@ -133,16 +135,16 @@ QUERIES = {
     "label_validity": (label_validity, with_sql(NAMES_SQL, body="SELECT id, strlen(name) BETWEEN 2 AND 64 AND regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_ ]*$') AND regexp_matches(name, '[A-Za-z]') AS valid, strlen(type_name) BETWEEN 2 AND 64 AND regexp_matches(type_name, '^[A-Za-z_][A-Za-z0-9_ ]*$') AND regexp_matches(type_name, '[A-Za-z]') AND lower(type_name) NOT IN ('entity', 'unknown') AS canonical FROM names")),
     "index_lists": (index_lists, "SELECT event_id, event_id || '|' || user_id AS found FROM events"),
     "fenced_json": (fenced_json, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
-    "session_dates": (session_dates, "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN make_timestamp(2023, 5, event_id % 28 + 1, CASE WHEN event_id % 12 + 1 = 12 THEN 12 ELSE event_id % 12 + 13 END, 5, 0.0) END AS at FROM events"),
+    "session_dates": (session_dates, "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN make_timestamp(2023, event_id % 11 + 1, event_id % 28 + 1, (event_id % 12 + 1) % 12 + CASE WHEN event_id % 2 = 0 THEN 12 ELSE 0 END, 5, 0.0) END AS at FROM events"),
     "turn_scores": (turn_scores, with_sql(BEFORE, F1B, body=f"SELECT conv_id, turn, lower(trim(text)) = lower(trim(other)) AS exact, round(f1, 6) AS f1, round(CASE WHEN {norm('text')} = '' THEN 0.0 WHEN {norm('text')} = {norm('other')} THEN 1.0 WHEN contains({norm('text')}, {norm('other')}) AND {norm('other')} <> '' THEN 1.0 ELSE f1 END, 6) AS score FROM f")),
     "item_credit": (item_credit, with_sql(EPISODES_SQL, f"t AS (SELECT id, lower(content) AS low, {tok('content')} AS w FROM episodes)", body="SELECT id, round(((CASE WHEN contains(low, 'the') OR list_contains(w, 'the') THEN 1 ELSE 0 END) + (CASE WHEN contains(low, 'of the') OR list_contains(w, 'of') OR list_contains(w, 'the') THEN 1 ELSE 0 END) + (CASE WHEN contains(low, 'de la') OR list_contains(w, 'de') OR list_contains(w, 'la') THEN 1 ELSE 0 END) + (CASE WHEN contains(low, 'und der') OR list_contains(w, 'und') OR list_contains(w, 'der') THEN 1 ELSE 0 END)) / 4.0::DOUBLE, 6) AS credit FROM t")),
     "rate_lookup": (rate_lookup, "SELECT p_partkey AS id, round(p_size / 1000.0::DOUBLE * CASE p_partkey % 3 WHEN 0 THEN 0.15::DOUBLE WHEN 1 THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END + p_retailprice / 1000 * CASE p_partkey % 3 WHEN 0 THEN 0.6::DOUBLE WHEN 1 THEN 10.0::DOUBLE ELSE 2.0::DOUBLE END, 6) AS usd FROM part"),
     "idempotency_keys": (idempotency_keys, with_sql(NAMES_SQL, body="SELECT id, sha256(concat_ws('␟', CAST(id AS VARCHAR), name, type_name, group_id)) AS key, sha256(least(name, type_name) || '|' || greatest(name, type_name)) AS pair FROM names")),
-    "question_categories": (question_categories, "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'abstention' WHEN user_id % 3 = 0 THEN 'reasoning' WHEN user_id % 3 = 1 THEN 'temporal' ELSE 'other' END AS category, CAST(20 AS BIGINT) AS k FROM events"),
+    "question_categories": (question_categories, "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'Abstention' WHEN user_id % 7 = 0 THEN 'MultiSession' WHEN user_id % 7 = 1 THEN 'TemporalReasoning' WHEN user_id % 7 = 2 THEN 'KnowledgeUpdate' ELSE 'InformationExtraction' END AS category, CAST(CASE event_id % 3 WHEN 0 THEN 30 WHEN 1 THEN 40 ELSE 20 END AS BIGINT) AS k FROM events"),
     "shouted_words": (shouted_words, "SELECT o_orderkey, replace(o_orderpriority, 'SPECIFIED', 'Specified') AS priority FROM orders"),
     "verdict_values": (verdict_values, "SELECT sum(CASE WHEN toxic = 1 THEN 1.0 WHEN quality = 1 THEN 0.5 ELSE 0.0 END)::DOUBLE AS total, count(*) AS n FROM labels"),
     "mutation_log": (mutation_log, "SELECT event_id AS id, ts AS created_at FROM events WHERE event_type = 'click' AND event_id % 4 <> 0"),
-    "metadata_patch": (metadata_patch, "SELECT event_id, 'x' AS source, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
+    "metadata_patch": (metadata_patch, "SELECT event_id, 's' || (event_id % 9) AS source, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     "net_mutations": (net_mutations, with_sql(FACTS_SQL, "s AS (SELECT group_id, count(*) FILTER (WHERE valid_to IS NOT NULL) + count(*) FILTER (WHERE expired_at IS NOT NULL) AS total FROM facts GROUP BY group_id)", body="SELECT group_id, total, total > 50 AS warn FROM s")),
     "axis_reorders": (axis_reorders, "WITH p AS (SELECT p_partkey AS id, p_brand AS g, round(p_retailprice % 100 / 100, 6) AS s, round(0.5::DOUBLE * least(p_size / 25.0::DOUBLE, 1.0), 6) AS d FROM part), r AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY s DESC, id) AS a, row_number() OVER (PARTITION BY g ORDER BY round(s + d, 6) DESC, id) AS b FROM p) SELECT g, max(CASE WHEN a <> b THEN 1 ELSE 0 END) AS reorders FROM r GROUP BY g"),
     "proximity": (proximity, "SELECT o_custkey, round(0.1::DOUBLE * least(count(*) / 20.0::DOUBLE, 1.0), 6) AS bonus, greatest(1, least(10, count(*))) AS k FROM orders GROUP BY o_custkey"),

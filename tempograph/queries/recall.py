@@ -36,16 +36,32 @@ def first_vector(spark, sf):
     return raw(spark, sf, "embeddings").filter("vec_id = 0").select(F.col("embedding").cast("array<double>").alias("query_embedding"))
 
 
+_built: dict[tuple[str, str], search.TextIndex] = {}
+
+
+def text_index(spark, sf):
+    """The index of the episodes, built once by whichever query of the application needs it first."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _built:
+        _built[key] = search.TextIndex.build(episodes(spark, sf), carried=("group_id",))
+    return _built[key]
+
+
 def bm25_content_and(spark, sf):
+    return text_index(spark, sf).search(TERMS).select("id", "score")
+
+
+def bm25_scan(spark, sf):
+    """The same without an index, by one pass over the texts."""
     return search.bm25(episodes(spark, sf), TERMS).select("id", "score")
 
 
 def bm25_and_or_ladder(spark, sf):
-    return search.ladder(episodes(spark, sf), RARE).select("id", "score")
+    return text_index(spark, sf).ladder(RARE).select("id", "score")
 
 
 def bm25_content_head(spark, sf):
-    return search.head(search.bm25(episodes(spark, sf).filter(F.col("group_id") == "en"), TERMS), 10).select("id", "score")
+    return search.head(text_index(spark, sf).where(F.col("group_id") == "en").search(TERMS), 10).select("id", "score")
 
 
 def bm25_facts_active(spark, sf):
@@ -66,11 +82,11 @@ def vector_scores(spark, sf):
 
 
 def hybrid_rrf(spark, sf):
-    return search.hybrid(episodes(spark, sf), vectors(spark, sf), TERMS, first_vector(spark, sf), 10).select("id", "score")
+    return search.hybrid(text_index(spark, sf).search(TERMS), vectors(spark, sf), first_vector(spark, sf), 10).select("id", "score")
 
 
 def rrf_weighted_content(spark, sf):
-    return search.hybrid(episodes(spark, sf), vectors(spark, sf), TERMS, first_vector(spark, sf), 10, weights=(0.5, 0.5), rrf_k=1).select("id", "score")
+    return search.hybrid(text_index(spark, sf).search(TERMS), vectors(spark, sf), first_vector(spark, sf), 10, weights=(0.5, 0.5), rrf_k=1).select("id", "score")
 
 
 def minmax_seed(spark, sf):
@@ -79,7 +95,7 @@ def minmax_seed(spark, sf):
 
 
 def multi_namespace_topk(spark, sf):
-    return search.per_namespace(search.bm25(episodes(spark, sf), ["de"]), 5).select("id", "group_id", "score")
+    return search.per_namespace(text_index(spark, sf).search(["de"]), 5).select("id", "group_id", "score")
 
 
 def recency_boost(spark, sf):
@@ -94,11 +110,12 @@ def degree_bonus(spark, sf):
 
 
 def contextualize(spark, sf):
-    return plan.contextualize(spark, sf, TERMS)
+    return plan.contextualize(episodes(spark, sf), text_index(spark, sf).search(TERMS), vectors(spark, sf), first_vector(spark, sf))
 
 
 def rerank_head_tail(spark, sf):
-    hits = search.head(search.bm25(episodes(spark, sf), TERMS), 20)
+    hits = search.head(text_index(spark, sf).search(TERMS), 20)
+    hits = episodes(spark, sf).select("id", "content").join(F.broadcast(hits), "id")  # 20 rows
     return search.rerank(hits, -F.length("content").cast("double"), 5).select("id", "score", "rank")
 
 
@@ -120,6 +137,7 @@ def fused(k: int, w: float) -> list[str]:
 
 QUERIES = {
     "bm25_content_and": (bm25_content_and, with_sql(EPISODES_SQL, *bm25_sql(TERMS), body="SELECT id, score FROM hits")),
+    "bm25_scan": (bm25_scan, with_sql(EPISODES_SQL, *bm25_sql(TERMS), body="SELECT id, score FROM hits")),
     "bm25_and_or_ladder": (bm25_and_or_ladder, with_sql(EPISODES_SQL, *bm25_sql(RARE), *bm25_sql(RARE, any_term=True), body="SELECT id, score FROM hits UNION ALL SELECT id, score FROM hitso WHERE NOT EXISTS (SELECT 1 FROM hits)")),
     "bm25_content_head": (bm25_content_head, with_sql(EPISODES_SQL, *bm25_sql(TERMS, where="group_id = 'en'"), body="SELECT id, score FROM hits ORDER BY score DESC, id LIMIT 10")),
     "bm25_facts_active": (bm25_facts_active, with_sql(FACTS_SQL, "rendered AS (SELECT id, expired_at, concat_ws(' ', predicate, object_value) AS content FROM facts)", *bm25_sql(["purchase", "3"], "rendered", "expired_at IS NULL"), body="SELECT id, score FROM hits")),

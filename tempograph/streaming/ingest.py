@@ -24,8 +24,9 @@ def read_events(spark: SparkSession, folder: str, schema, per_trigger: int = 16)
 
 
 def deduplicated(facts: DataFrame, watermark: str | None = None, time: str = "recorded_at") -> DataFrame:
-    """The first arrival of each triple; with a watermark the state stays bounded."""
-    keyed = facts.withColumn("content_hash", fact_hash(F.col("subject_id"), F.col("predicate"), F.col("object_value")))
+    """The first arrival of each triple, whose object is an entity or a value; with a watermark the state stays bounded."""
+    given = [F.col(c) for c in ("object_id", "object_value") if c in facts.columns]
+    keyed = facts.withColumn("content_hash", fact_hash(F.col("subject_id"), F.col("predicate"), F.coalesce(*given)))
     if watermark is None:
         return keyed.dropDuplicates(["content_hash"])
     return keyed.withWatermark(time, watermark).dropDuplicatesWithinWatermark(["content_hash"])
