@@ -41,7 +41,7 @@ class Memory:
     commit; ``compact`` writes a table's latest rows as the base of later reads.
     """
 
-    KEYS: ClassVar[dict[str, list[str]]] = {"episodes": ["id"], "facts": ["id"], "entities": ["id", "group_id"], "episodic_edges": ["episode_id", "entity_id"], "graph_mutation_log": ["id"]}
+    KEYS: ClassVar[dict[str, list[str]]] = {"episodes": ["id"], "facts": ["id"], "entities": ["id", "group_id"], "episodic_edges": ["episode_id", "entity_id"], "graph_mutation_log": ["id"], "entity_types": ["group_id", "id"], "namespaces": ["group_id"]}
 
     def __init__(self, spark: SparkSession, root: str, config: Config = DEFAULT):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config

@@ -125,3 +125,82 @@ def may_follow(old: Column, new: Column) -> Column:
     order = {"pending": 0, "phase1": 1, "verified": 2, "facts": 3, "done": 4}
     rank = lambda c: F.coalesce(*[F.when(c == k, v) for k, v in order.items()])
     return F.when(new.isin("failed", "cancelled"), ~old.isin("done", "failed", "cancelled")).otherwise(F.coalesce(rank(new) == rank(old) + 1, F.lit(False)))
+
+
+# Marks of the line format and of untrusted text.
+FIELD, SENTINEL, UNTRUSTED = "<|#|>", "<|COMPLETE|>", "untrusted_source"
+
+
+def delimited_tuples(text: Column, marker: str = "entity") -> Column:
+    """(name, entity_type_id, description) of each well-formed line up to the end mark."""
+    lines = F.transform(F.split(text, "\\n"), lambda x: F.trim(F.regexp_replace(x, "\\r", "")))
+    end = F.array_position(lines, SENTINEL)
+    live = F.when(end > 0, F.slice(lines, F.lit(1), (end - 1).cast("int"))).otherwise(lines)
+    fields = F.transform(live, lambda x: F.transform(F.split(x, r"<\|#\|>"), lambda f: F.trim(f)))
+    well = F.filter(fields, lambda f: (F.size(f) == 4) & (f[0] == marker) & f[2].rlike("^[0-9]{1,10}$") & (f[2].cast("bigint") < 2**32))
+    return F.transform(well, lambda f: F.struct(f[1].alias("name"), f[2].cast("bigint").alias("entity_type_id"), f[3].alias("description")))
+
+
+def parsed_entities(answer: Column, types: int) -> Column:
+    """Entities of a model's JSON; unknown type numbers become 0, names that are pieces of JSON go."""
+    whole = F.from_json(answer, "struct<entities: array<struct<name: string, entity_type_id: bigint>>>").entities
+    named = F.filter(whole, lambda e: e["name"].isNotNull() & (F.trim(e["name"]) != "") & ~e["name"].rlike(r'[{}\[\]"]'))
+    known = lambda t: F.when((t >= 0) & (t < types), t).otherwise(0)
+    return F.coalesce(F.transform(named, lambda e: F.struct(F.trim(e["name"]).alias("name"), known(e["entity_type_id"]).alias("entity_type_id"))), F.array().cast("array<struct<name:string,entity_type_id:bigint>>"))
+
+
+def template_entities(answer: Column) -> Column:
+    """(name, label) of an answer that lists names by label."""
+    lists = F.map_entries(F.from_json(answer, "map<string, array<string>>"))
+    return F.flatten(F.transform(lists, lambda e: F.transform(F.coalesce(e.value, F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), e.key.alias("label")))))
+
+
+def schema_violation(document: Column, required: dict[str, str], allowed: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The first thing that a JSON object lacks of its schema, as a message for a second try; null if it fits."""
+    patterns = {"integer": r"^-?\d+$", "number": r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$", "boolean": "^(true|false)$"}
+    out = F.when(F.try_parse_json(document).isNull(), "not JSON")
+    for key, kind in required.items():
+        value = F.get_json_object(document, f"$.{key}")
+        out = out.when(value.isNull(), f"missing field {key}")
+        if kind in patterns:
+            out = out.when(~value.rlike(patterns[kind]), f"field {key} is no {kind}")
+    for key, values in (allowed or {}).items():
+        out = out.when(~F.get_json_object(document, f"$.{key}").isin(*values), f"field {key} is none of {', '.join(values)}")
+    return out
+
+
+def utf8_head(text: Column, most: int) -> Column:
+    """The longest beginning of whole characters in so many bytes."""
+    raw = F.encode(text, "UTF-8")
+    head = F.hex(F.substring(raw, F.lit(1), F.lit(most)))
+    following = F.hex(F.substring(raw, F.lit(most + 1), F.lit(1)))
+    # the cut is inside a character if the next byte continues one; then its first bytes go
+    whole = F.when(following.rlike("^[89AB]"), F.regexp_replace(head, "^((?:..)*)[C-F].(?:[89AB].)*$", "$1")).otherwise(head)
+    return F.decode(F.unhex(whole), "UTF-8")
+
+
+def untrusted(text: Column) -> Column:
+    """A text between tags that stamp its hash, with what could pass for the tags or a control token taken apart."""
+    safe = F.regexp_replace(text, f"(?i)<(/?\\s*{UNTRUSTED})", "&lt;$1")
+    safe = F.regexp_replace(safe, r"<\|([a-zA-Z_]+)\|>", "&lt;|$1|&gt;")
+    return F.concat(F.lit(f'<{UNTRUSTED} sha256="'), F.sha2(text, 256), F.lit('">\n'), safe, F.lit(f"\n</{UNTRUSTED}>"))
+
+
+def search_expression(query: Column) -> Column:
+    """A full-text expression in which every word is quoted and all must occur."""
+    return F.array_join(F.transform(tokens(query), lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " AND ")
+
+
+def word_spans(text: Column, widest: int) -> Column:
+    """(first, last) of all runs of up to so many words."""
+    n = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    firsts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(firsts, lambda i: F.transform(F.sequence(i, F.least(i + (widest - 1), n - 1)), lambda j: F.struct(i.alias("first"), j.alias("last")))))
+
+
+def spans_apart(scored: Column) -> Column:
+    """Of scored spans (score, first, last), the best one, then the best that meets none taken before, and so on."""
+    best = F.array_sort(scored, lambda a, b: F.when(a.score > b.score, -1).when(a.score < b.score, 1).when(a.first < b.first, -1).when(a.first > b.first, 1).otherwise(a.last - b.last))
+    nothing = F.filter(scored, lambda s: F.lit(False))
+    meets = lambda s, t: (s.first <= t.last) & (t.first <= s.last)
+    return F.aggregate(best, nothing, lambda taken, s: F.when(F.exists(taken, lambda t: meets(s, t)), taken).otherwise(F.concat(taken, F.array(s))))

@@ -65,3 +65,25 @@ def f1(expected: Column, predicted: Column) -> tuple[Column, Column, Column, Col
 def decide_bulk(candidates: Column, live: Column, minimum: int = 20, share: float = 0.25) -> Column:
     """Whether an expiry of many facts at once is let through."""
     return F.when((candidates > 0) & (live >= minimum) & (candidates / live > share), "Blocked").otherwise("Allowed")
+
+
+def mcnemar_p(b: Column, c: Column) -> Column:
+    """The exact two-sided chance of so uneven a split of b + c pairs, from the ratios of neighbouring binomial terms."""
+    n, least = (b + c).cast("double"), F.least(b, c)
+    state = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.exp(-n * F.log(F.lit(2.0))).alias("total"))
+
+    def step(s: Column, i: Column) -> Column:
+        term = s.term + F.log((n - i + 1) / i)
+        return F.struct(term.alias("term"), (s.total + F.exp(term)).alias("total"))
+
+    places = F.when(least > 0, F.sequence(F.lit(1).cast("bigint"), least)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(places, state, step, lambda s: s.total)
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+
+
+def fuzzy_counts(expected: Column, given: Column) -> tuple[Column, Column, Column]:
+    """True positives over what is expected, false positives over what is given, false negatives: alike is one being part of the other."""
+    alike = lambda x, y: F.contains(x, y) | F.contains(y, x)
+    found = F.size(F.filter(expected, lambda x: F.exists(given, lambda y: alike(x, y))))
+    extra = F.size(F.filter(given, lambda y: ~F.exists(expected, lambda x: alike(x, y))))
+    return found.cast("long"), extra.cast("long"), (F.size(expected) - found).cast("long")

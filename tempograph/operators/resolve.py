@@ -14,6 +14,8 @@ from tempograph.config import DEFAULT, Config
 from tempograph.functions import text
 from tempograph.functions.scoring import noisy_or
 from tempograph.functions.vector import cosine
+from tempograph.operators.graph import components, maximal_cliques
+from tempograph.operators.reversal import covered
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None, digits: int = 6, block_bytes: int = 64_000_000) -> DataFrame:
@@ -72,15 +74,16 @@ def lsh_keys(vectors: DataFrame, tables: int = 16, bits: int = 12, seed: int = 3
     return vectors.select("id", "embedding").mapInPandas(sign, f"id {kind}, key long")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 24, bits: int | None = None, digits: int = 6, floor: int = 3) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 48, bits: int | None = None, digits: int = 6, floor: int = 3) -> DataFrame:
     """(id, other_id, score, rank): the k nearest vectors of each query among those that share a key with it, verified by cosine.
 
     ``bits`` grow with the number of vectors, so that a key holds a few dozen
-    whatever the size.  A query for which the keys bring fewer than ``floor``
+    whatever the size; more ``tables`` find more of neighbours that are not
+    very near.  A query for which the keys bring fewer than ``floor``
     times k candidates is compared with every vector instead (the fallback).
     """
     if bits is None:
-        bits = max(2, int(math.log2(max(vectors.count(), 2) / 48) + 1))
+        bits = max(2, int(math.log2(max(vectors.count(), 2) / 96) + 1))
     v = vectors.filter("embedding is not null")
     keys = lsh_keys(v, tables, bits)
     asked = queries.select("id").join(keys, "id").select(F.col("id").alias("q"), "key")
@@ -165,3 +168,34 @@ def merged_confidence(pairs: DataFrame) -> DataFrame:
 def corroboration(frequency: Column) -> Column:
     """Weight of something shared, the rarer the more; none beyond eight."""
     return F.when(frequency <= 8, F.round(F.lit(2.0**20) / (1 + F.log2(frequency)))).otherwise(0.0).cast("long")
+
+
+def cliques(pairs: DataFrame, most: int = 32) -> DataFrame:
+    """(component, members, weight) of the maximal cliques of pairs (a, b, weight), for components of up to ``most`` members.
+
+    Larger components are left out, as a chain of likenesses that long is no
+    group; so a task holds no more than ``most`` members and their pairs.
+    """
+    links = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select("b", "a"))
+    of = components(links)
+    small = of.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("component")
+    inside = pairs.join(of.select(F.col("node").alias("a"), "component"), "a").join(small, "component")
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def find(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        adjacent: dict = {}
+        weight = {}
+        for a, b, w in zip(rows["a"], rows["b"], rows["weight"], strict=True):
+            adjacent.setdefault(a, set()).add(b)
+            adjacent.setdefault(b, set()).add(a)
+            weight[min(a, b), max(a, b)] = w
+        found = maximal_cliques(list(adjacent), adjacent)
+        totals = [sum(weight[x, y] for i, x in enumerate(c) for y in c[i + 1 :]) for c in found]
+        return pd.DataFrame({"component": [key[0]] * len(found), "members": [list(c) for c in found], "weight": totals})
+
+    return inside.groupBy("component").applyInPandas(find, f"component {kind}, members array<{kind}>, weight long")
+
+
+def merge_groups(pairs: DataFrame, most: int = 32) -> DataFrame:
+    """(component, members): groups to merge, cliques that do not overlap, larger ones first, then heavier; the first member is the keeper."""
+    return covered(cliques(pairs, most)).withColumn("members", F.array_sort("members"))

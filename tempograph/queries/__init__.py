@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def everything() -> dict[str, tuple[Query, str | None]]:
-    from . import batch, graphs, metrics, more, recall, scalar, tables, times
+    from . import arms, batch, evals, gates, graphs, metrics, more, passes, recall, reversal, scalar, sinks, streams, tables, times
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (tables, times, scalar, recall, graphs, batch, metrics, more):
+    for module in (tables, times, scalar, recall, graphs, batch, metrics, more, sinks, gates, arms, passes, reversal, evals, streams):
         found |= module.QUERIES
     return found

@@ -201,6 +201,8 @@ PAIRS = f"p AS (SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.embe
 NAME_PAIRS = "l AS (SELECT DISTINCT trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS label FROM names), f AS (SELECT trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS label, min(id) AS id FROM names GROUP BY 1), w AS (SELECT label, list_distinct(list_filter(list_transform(regexp_split_to_array(label, '\\s+'), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}_]', '', 'g')), lambda w: w <> '')) AS w FROM l), np AS (SELECT f.id AS a, n.id AS b FROM f JOIN names n ON trim(regexp_replace(lower(n.name), '\\s+', ' ', 'g')) = f.label AND n.id <> f.id UNION SELECT least(fx.id, fy.id), greatest(fx.id, fy.id) FROM w x JOIN w y ON x.label < y.label JOIN f fx ON fx.label = x.label JOIN f fy ON fy.label = y.label WHERE len(x.w) > 0 AND len(y.w) > 0 AND len(list_intersect(x.w, y.w))::DOUBLE / len(list_distinct(list_concat(x.w, y.w))) >= 0.9)"
 SHG = "CASE WHEN length({0}) >= 3 THEN list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substring({0}, i, 3))) ELSE [{0}] END"
 
+COMPONENTS_SQL = "WITH RECURSIVE " + ", ".join([VECTORS_SQL, PAIRS, f"g AS (SELECT a AS x, b AS y FROM pairs WHERE score > {MERGE} UNION SELECT b, a FROM pairs WHERE score > {MERGE})", "reach(x, y) AS (SELECT x, y FROM g UNION SELECT r.x, g.y FROM reach r JOIN g ON g.x = r.y)", "c AS (SELECT x AS node, least(x, min(y)) AS component FROM reach GROUP BY x)"]) + " SELECT node, component, n FROM c JOIN (SELECT component, count(*) AS n FROM c GROUP BY component) USING (component) WHERE n <= 32"
+
 QUERIES = {
     "allpairs_cosine": (allpairs_cosine, with_sql(VECTORS_SQL, PAIRS, body="SELECT a, b, score FROM pairs")),
     "classify_pair_ladder": (classify_pair_ladder, with_sql(VECTORS_SQL, PAIRS, body=f"SELECT a, b, CASE WHEN score >= {MERGE} AND ta = tb THEN CASE WHEN (a + b) % 3 <> 0 THEN 'Merge' ELSE 'PotentialAlias' END WHEN score >= {ALIAS} AND ta = tb THEN 'PotentialAlias' ELSE 'New' END AS decision FROM pairs")),
@@ -227,7 +229,7 @@ QUERIES = {
     "merge_chain_fanin": (merge_chain_fanin, "SELECT o_custkey AS keeper, count(DISTINCT o_orderkey) AS losers FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey) >= 12"),
     "cluster_names": (cluster_names, with_sql(NAMES_SQL, body="SELECT lower(trim(name)) AS name, count(*) AS n FROM names GROUP BY 1 ORDER BY n DESC, name LIMIT 20")),
     "contradiction_pool": (contradiction_pool, with_sql(FACTS_SQL, "f AS (SELECT * FROM facts WHERE expired_at IS NULL)", "m AS (SELECT *, last_value(id) OVER w AS nid, last_value(object_value) OVER w AS nv, last_value(valid_from) OVER w AS nf FROM f WINDOW w AS (PARTITION BY subject_id, predicate ORDER BY valid_from, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))", body="SELECT id, CASE WHEN object_value = nv THEN 'duplicate' ELSE 'conflict' END AS pool FROM m WHERE id <> nid AND nf - INTERVAL 2 DAYS < coalesce(valid_to, TIMESTAMP '9999-12-31 00:00:00')")),
-    "merge_components": (merge_components, None),
+    "merge_components": (merge_components, COMPONENTS_SQL),
     "namespace_policy": (namespace_policy, "SELECT n_name AS group_id, CASE WHEN n_regionkey = 0 THEN 'AppendOnly' ELSE 'Mutable' END AS policy, n_regionkey <> 0 AS forgettable FROM nation"),
     "label_join": (label_join, with_sql(VECTORS_SQL, body="SELECT id, CASE WHEN entity_type_id < 8 THEN 'Type' || entity_type_id ELSE 'Entity' END AS label FROM vectors")),
     "pair_cosine_of_neighbours": (pair_cosine_of_neighbours, with_sql(VECTORS_SQL, "n AS (SELECT id, embedding, lead(embedding) OVER (PARTITION BY group_id ORDER BY id) AS nx FROM vectors)", body="SELECT id, round(list_cosine_similarity(embedding, nx), 6) AS score FROM n WHERE nx IS NOT NULL")),

@@ -90,6 +90,9 @@ def hops(seeds_: list[str], links_: str, n: int) -> list[str]:
 
 EARLY = "l AS (SELECT subject_id AS src, object_id AS dst FROM edges WHERE active AND valid_from <= TIMESTAMP '1995-01-01 00:00:00' UNION SELECT object_id, subject_id FROM edges WHERE active AND valid_from <= TIMESTAMP '1995-01-01 00:00:00')"
 
+ITERATED = ", ".join(f"r{k + 1} AS (SELECT l.dst AS node, 0.15::DOUBLE / (SELECT n FROM nn) + 0.85::DOUBLE * sum(r.rank / d.o) AS rank FROM l JOIN r{k} r ON r.node = l.src JOIN d ON d.src = l.src GROUP BY l.dst)" for k in range(20))
+PAGERANK_SQL = with_sql(EDGES_SQL, "l AS MATERIALIZED (SELECT src, dst FROM (SELECT subject_id AS src, object_id AS dst FROM edges WHERE active UNION SELECT object_id, subject_id FROM edges WHERE active) WHERE src <> dst)", "d AS MATERIALIZED (SELECT src, count(*) AS o FROM l GROUP BY src)", "nn AS (SELECT count(*) AS n FROM d)", "r0 AS (SELECT src AS node, 1.0::DOUBLE / (SELECT n FROM nn) AS rank FROM d)", ITERATED.replace(" AS (SELECT l.dst", " AS MATERIALIZED (SELECT l.dst"), body="SELECT node, round(rank, 9) AS rank FROM r20")
+
 QUERIES = {
     "bfs_1hop": (bfs_1hop, with_sql(EDGES_SQL, *hops(["p:7", "s:3"], LINKS, 1), body="SELECT seed, node, depth FROM h1")),
     "bfs_2hop_asof": (bfs_2hop_asof, with_sql(EDGES_SQL, *hops(["p:7"], EARLY, 2), body="SELECT seed, node, depth FROM h2")),
@@ -99,7 +102,7 @@ QUERIES = {
     "cooccurrence_pairs": (cooccurrence_pairs, with_sql(EDGES_SQL, "m AS (SELECT DISTINCT episode_id, subject_id AS x FROM edges)", body="SELECT a.x AS a, b.x AS b, count(*) AS weight FROM m a JOIN m b USING (episode_id) WHERE a.x < b.x GROUP BY 1, 2")),
     "shared_neighbours": (shared_neighbours, with_sql(EDGES_SQL, "m AS (SELECT DISTINCT object_id AS x, subject_id AS via FROM edges)", body="SELECT a.x AS a, b.x AS b, count(*) AS shared FROM m a JOIN m b USING (via) WHERE a.x < b.x GROUP BY 1, 2")),
     "connected_components": (connected_components, with_sql(VECTORS_SQL, body="SELECT 'v:' || id AS node, group_id AS component FROM vectors UNION ALL SELECT DISTINCT group_id, group_id FROM vectors")),
-    "pagerank_20": (pagerank_20, None),
+    "pagerank_20": (pagerank_20, PAGERANK_SQL),
     "label_propagation": (label_propagation, None),
     "keeper_chains": (keeper_chains, "SELECT p_partkey AS loser, 0 AS keeper FROM part WHERE p_partkey > 0"),
 }

@@ -21,6 +21,8 @@ EPISODES = _struct("id bigint, content string, timestamp timestamp_ntz, recorded
 EPISODIC_EDGES = _struct("episode_id bigint, entity_id string, role string, entity_group_id string")
 MUTATIONS = _struct("id bigint, kind string, group_id string, created_at timestamp_ntz, undone_at timestamp_ntz, pre_state string, inputs string")
 
-TABLES = {"entities": ENTITIES, "facts": FACTS, "episodes": EPISODES, "episodic_edges": EPISODIC_EDGES, "graph_mutation_log": MUTATIONS}
+ENTITY_TYPES = _struct("group_id string, id int, name string, description string, created_at timestamp_ntz, last_used_at timestamp_ntz, use_count bigint, evidence_count bigint, confidence double")
+NAMESPACES = _struct("group_id string, policy_json string, recorded_at timestamp_ntz, schema_version int, upgraded_at timestamp_ntz")
+TABLES = {"entities": ENTITIES, "facts": FACTS, "episodes": EPISODES, "episodic_edges": EPISODIC_EDGES, "graph_mutation_log": MUTATIONS, "entity_types": ENTITY_TYPES, "namespaces": NAMESPACES}
 #: What an integrity check wants to find.
 CRITICAL = ("entities", "facts", "episodes", "episodic_edges", "entity_types", "namespaces")
