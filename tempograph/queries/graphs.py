@@ -72,8 +72,8 @@ def label_propagation(spark, sf):
 
 
 def keeper_chains(spark, sf):
-    """Parts merged into the part of half their number, followed to the end."""
-    m = raw(spark, sf, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("loser"), F.floor(F.col("p_partkey") / 2).alias("keeper"))
+    """Parts from the fourth on merged into the part of half their number, followed to the end: the second or the third."""
+    m = raw(spark, sf, "part").filter("p_partkey > 3").select(F.col("p_partkey").alias("loser"), F.floor(F.col("p_partkey") / 2).alias("keeper"))
     return graph.survivors(m)
 
 
@@ -104,5 +104,5 @@ QUERIES = {
     "connected_components": (connected_components, with_sql(VECTORS_SQL, body="SELECT 'v:' || id AS node, group_id AS component FROM vectors UNION ALL SELECT DISTINCT group_id, group_id FROM vectors")),
     "pagerank_20": (pagerank_20, PAGERANK_SQL),
     "label_propagation": (label_propagation, None),
-    "keeper_chains": (keeper_chains, "SELECT p_partkey AS loser, 0 AS keeper FROM part WHERE p_partkey > 0"),
+    "keeper_chains": (keeper_chains, "WITH RECURSIVE r(loser, keeper) AS (SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey > 3 UNION ALL SELECT loser, keeper // 2 FROM r WHERE keeper > 3) SELECT loser, min(keeper) AS keeper FROM r GROUP BY loser"),
 }
