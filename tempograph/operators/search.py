@@ -31,14 +31,20 @@ class TextIndex:
         spark = docs.sparkSession
         root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         keys = ["id", *carried]
-        # words one by one, so that what is shuffled is (term, document) with its count
-        words = docs.select(*keys, tokens(F.col(text)).alias("_words"))
-        counted = words.select(*keys, F.size("_words").alias("length"), F.explode("_words").alias("term"))
-        counted = counted.groupBy(*keys, "length", "term").agg(F.count("*").alias("tf"))
+        # each text is cut into words once; a document's words are counted inside its row, as runs of its sorted words
+        cut = docs.select(*keys, F.array_sort(tokens(F.col(text))).alias("_words"))
+        cut.write.parquet(f"{root}/words")
+        words = spark.read.schema(cut.schema).parquet(f"{root}/words").withColumn("length", F.size("_words"))
+        at = lambda i: F.get("_words", i)
+        starts = F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: (i == 1) | (at(i - 1) != at(i - 2)))
+        begun = words.filter("length > 0").withColumn("_starts", starts)
+        ends = F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.col("length") + 1))
+        runs = F.zip_with("_starts", ends, lambda a, z: F.struct(at(a - 1).alias("term"), (z - a).cast("long").alias("tf")))
+        counted = begun.select(*keys, "length", F.inline(runs))
         parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
         spread = counted.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id")
         spread.write.option("parquet.block.size", 8 << 20).parquet(f"{root}/postings")
-        words.select(*keys, F.size("_words").alias("length")).write.parquet(f"{root}/docs")
+        words.select(*keys, "length").write.parquet(f"{root}/docs")
         return cls(spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/docs"))
 
     def where(self, condition: Column) -> TextIndex:
