@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,16 +16,22 @@ from tempograph.operators.graph import shared_folder
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
+def _bucket(term: Column, buckets: int) -> Column:
+    """Where a shuffle by term into so many partitions puts it."""
+    return F.pmod(F.hash(term), F.lit(buckets))
+
+
 class TextIndex:
-    """Postings of a text column: one row per term and document, sorted by term, and one slim row per document.
+    """Postings of a text column: one row per term and document, in a folder per bucket of terms, and one slim row per document.
 
-    Both are Parquet in the shared folder.  A search reads the row groups of
-    its terms alone (their statistics prune the others) and never the texts.
+    Both are Parquet in the shared folder.  A search reads its terms' folders
+    alone and of those, as they are sorted by term, the row groups that their
+    statistics leave; it never reads the texts.
     ``carried`` columns stand in both, for filters.
     """
 
-    def __init__(self, postings: DataFrame, docs: DataFrame):
-        self.postings, self.docs = postings, docs
+    def __init__(self, postings: DataFrame, docs: DataFrame, buckets: int):
+        self.postings, self.docs, self.buckets = postings, docs, buckets
 
     @classmethod
     def build(cls, docs: DataFrame, text: str = "content", carried: tuple[str, ...] = (), parts: int | None = None) -> TextIndex:
@@ -42,14 +49,16 @@ class TextIndex:
         runs = F.zip_with("_starts", ends, lambda a, z: F.struct(at(a - 1).alias("term"), (z - a).cast("long").alias("tf")))
         counted = begun.select(*keys, "length", F.inline(runs))
         parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        spread = counted.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id")
-        spread.write.option("parquet.block.size", 8 << 20).parquet(f"{root}/postings")
+        # a bucket is what the shuffle by term makes of it anyway: one task, one folder
+        spread = counted.withColumn("bucket", _bucket(F.col("term"), parts)).repartition(parts, "term").sortWithinPartitions("bucket", "term")
+        spread.write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{root}/postings")
         words.select(*keys, "length").write.parquet(f"{root}/docs")
-        return cls(spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/docs"))
+        postings = spark.read.schema(spread.schema).parquet(f"{root}/postings")
+        return cls(postings, spark.read.schema(words.select(*keys, "length").schema).parquet(f"{root}/docs"), parts)
 
     def where(self, condition: Column) -> TextIndex:
         """The index of the documents that meet a condition on the carried columns."""
-        return TextIndex(self.postings.filter(condition), self.docs.filter(condition))
+        return TextIndex(self.postings.filter(condition), self.docs.filter(condition), self.buckets)
 
     def search(self, terms: list[str], any_term: bool = False, digits: int = 6) -> DataFrame:
         """Documents that hold all terms (or any), with their BM25 score: id, the carried columns, score."""
@@ -57,7 +66,8 @@ class TextIndex:
         keys = [c for c in self.docs.columns if c != "length"]
         if not terms:
             return self.docs.select(*keys, F.lit(0.0).alias("score")).limit(0)
-        held = self.postings.filter(F.col("term").isin(*terms))
+        folders = [F.col("bucket") == _bucket(F.lit(t), self.buckets) for t in terms]
+        held = self.postings.filter(reduce(Column.__or__, folders) & F.col("term").isin(*terms))
         counts = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"_tf{i}") for i, t in enumerate(terms)]
         found = held.groupBy(*keys, "length").agg(*counts)
         sizes = self.docs.agg(F.count("*").alias("_n"), F.avg("length").alias("_mean"))
