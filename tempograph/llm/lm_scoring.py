@@ -51,6 +51,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, by_bytes, crc_of_id, parallelism, save_bucketed
 
 ADDED = 0.1
+SMALL = 6  # counts up to here go through tables
 
 
 def _pack(data: bytes) -> bytes:
@@ -155,37 +156,46 @@ def gains(table: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndar
     """
     p0 = _plogp(table)
     out, into = table.sum(1), table.sum(0)
-    rows = np.arange(len(where))
     gain = np.zeros((len(where), classes))
-    for counts, cells, known in ((after, table[:classes].T, p0[:classes].T), (before, table[:, :classes], p0[:, :classes])):
-        word, beside = np.nonzero(counts)
-        for at in range(0, len(word), 20_000):
-            w, c = word[at : at + 20_000], beside[at : at + 20_000]
+    s, p = after[:, :classes], before[:, :classes]
+    inside = np.flatnonzero(where < classes)
+    stay = np.zeros(len(where))
+    for counts, gone, beside, size in ((after, p, table, out), (before, s, table.T, into)):
+        # what enters a class, cell by cell: small counts by tables of one product each, others one by one
+        cells, known = beside[:classes].T, _plogp(beside[:classes].T)
+        for n in range(1, SMALL + 1):
+            these = counts == n
+            if these.any():
+                gain += these.astype(np.float64) @ (_plogp(cells + n) - known)
+        word, at = np.nonzero(counts > SMALL)
+        for i in range(0, len(word), 20_000):
+            w, c = word[i : i + 20_000], at[i : i + 20_000]
             step = _plogp(cells[c] + counts[w, c][:, None]) - known[c]
             first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
             gain[w[first]] += np.add.reduceat(step, first)
-    s, p = after[:, :classes], before[:, :classes]
-    # a word leaves the cells of its own class before it enters another one
-    for counts, gone, cells in ((after, p, table[:classes].T), (before, s, table[:, :classes])):
-        w = np.flatnonzero(counts[rows, where])
-        n, cell = counts[w, where[w]][:, None], cells[where[w]]
-        gain[w] += _plogp(cell - gone[w] + n) - _plogp(cell - gone[w]) - _plogp(cell + n) + _plogp(cell)
+        # a word leaves the cells of its own class before it enters another one
+        own_cell = counts[np.arange(len(where)), where]
+        w, c = np.nonzero((own_cell > 0)[:, None] & (gone > 0))
+        n, cell, less = own_cell[w], cells[where[w], c], gone[w, c]
+        gain[w, c] += _plogp(cell - less + n) - _plogp(cell - less) - _plogp(cell + n) + _plogp(cell)
+        # the class as a whole; many words have the same few counts
+        total = counts.sum(1) + own
+        few, which = np.unique(total, return_inverse=True)
+        gain -= (_plogp(size[:classes] + few[:, None]) - _plogp(size[:classes]))[which]
+        # in the class that it is in, the cells already hold it
+        w, c = np.nonzero(counts)
+        a = where[w]
+        there = (a < classes) & (c != a)
+        w, c, a = w[there], c[there], a[there]
+        stay += np.bincount(w, _plogp(beside[a, c]) - _plogp(beside[a, c] - counts[w, c]), len(where))
+        a = where[inside]
+        stay[inside] -= _plogp(size[a]) - _plogp(size[a] - total[inside])
     corner = np.diagonal(table)[:classes]
-    gain += _plogp(corner + s + p + own[:, None]) - _plogp(corner + s) - _plogp(corner + p) + _plogp(corner)
-    for counts, size in ((after, out), (before, into)):
-        n = (counts.sum(1) + own)[:, None]
-        gain -= _plogp(size[:classes] + n) - _plogp(size[:classes])
-    # in the class that it is in, the cells already hold it
-    w = np.flatnonzero(where < classes)
-    a = where[w]
-    stay = np.zeros(len(w))
-    for counts, cells, known, size in ((after, table, p0, out), (before, table.T, p0.T, into)):
-        left = known[a] - _plogp(cells[a] - counts[w])
-        left[np.arange(len(w)), a] = 0.0
-        n = counts[w].sum(1) + own[w]
-        stay += left.sum(1) - _plogp(size[a]) + _plogp(size[a] - n)
-    stay += p0[a, a] - _plogp(table[a, a] - after[w, a] - before[w, a] - own[w])
-    gain[w, a] = stay
+    w, c = np.nonzero(((s > 0) & (p > 0)) | (own > 0)[:, None])
+    gain[w, c] += _plogp(corner[c] + s[w, c] + p[w, c] + own[w]) - _plogp(corner[c] + s[w, c]) - _plogp(corner[c] + p[w, c]) + _plogp(corner[c])
+    a = where[inside]
+    stay[inside] += p0[a, a] - _plogp(table[a, a] - after[inside, a] - before[inside, a] - own[inside])
+    gain[inside, a] = stay[inside]
     return gain
 
 
@@ -271,6 +281,13 @@ class Chunk:
         digest = xxhash.xxh32_intdigest
         return np.fromiter((digest(w) for w in self.words), np.int64, len(self.words)) % parts
 
+    def placed(self, part: dict[int, np.ndarray], column: str, name: str, kind: type, otherwise: int) -> np.ndarray:
+        """What came back for each word of the dictionary, by its part."""
+        out = np.full(len(self.words), otherwise, np.int64)
+        for m in self.row[column] or []:
+            out[part[m["part"]]] = _numbers(m[name], kind)
+        return out
+
     def stream(self, values: np.ndarray, end: int, train_only: bool) -> np.ndarray:
         """Values of the tokens, an end before the first and after each text."""
         use = ~self.held if train_only else np.ones(len(self.held), bool)
@@ -392,21 +409,25 @@ def _bigrams(chunks: DataFrame, core: list[bytes], blocks: int = 32) -> np.ndarr
     return out.reshape(wide, wide)
 
 
+SENT = ("names", "seen", "classes", "rows", "cells", "counts")
+
+
 def _beside(chunks: DataFrame, classes: int, parts: int, named: dict[bytes, int] | None = None) -> DataFrame:
-    """(part, chunk, words, ...): each chunk's words by range, with their classes and their counts beside the classes.
+    """(part, chunk, names, ...): each chunk's words by range, with their classes and their counts beside the classes.
 
-    Classes are those that came back to the chunk or, in the first sweep, those
-    of ``named``; other words are outside then.
+    In the first sweep ``named`` gives the classes, other words are outside, and
+    names are the words themselves; then both are what came back to the chunk,
+    the classes and the words' numbers in their parts.
     """
     end, outside = classes, classes + 1
     wide = 2 * (classes + 2) + 1
-    names = ("words", "seen", "classes", "rows", "cells", "counts")
-    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64())] + [(n, pa.binary()) for n in names])
+    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64())] + [(n, pa.binary()) for n in SENT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _chunks(batches):
+            part = dict(_grouped(c.parts(parts)))
             if named is None:
-                value = _known(c)[1]
+                value, number = c.placed(part, "moved", "classes", np.int16, -1), c.placed(part, "marks", "numbers", np.uint32, 0)
             else:
                 value = np.fromiter((named.get(w, outside) for w in c.words), np.int64, len(c.words))
             value = np.where(c.seen > 0, value, -1)
@@ -414,86 +435,119 @@ def _beside(chunks: DataFrame, classes: int, parts: int, named: dict[bytes, int]
             word = c.stream(np.arange(len(c.words)), -1, True)
             at = np.flatnonzero(word >= 0)
             again = at[word[at - 1] == word[at]]
-            key = np.concatenate([word[at] * wide + line[at + 1], word[at] * wide + classes + 2 + line[at - 1], word[again] * wide + wide - 1])
-            key, n = np.unique(key, return_counts=True)
+            # words in the order of their parts, so that a part's cells lie side by side
+            order = np.concatenate(list(part.values())) if part else np.zeros(0, np.int64)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            key = np.concatenate([place[word[at]] * wide + line[at + 1], place[word[at]] * wide + classes + 2 + line[at - 1], place[word[again]] * wide + wide - 1])
+            if len(c.words) * wide <= 1 << 24:
+                n = np.bincount(key, minlength=len(c.words) * wide)
+                key = np.flatnonzero(n)
+                n = n[key]
+            else:
+                key, n = np.unique(key, return_counts=True)
             owner, cell = key // wide, key % wide
-            part = c.parts(parts)
-            rows = []
-            place = np.empty(len(c.words), np.int64)
-            by_part = dict(_grouped(part[owner])) if len(owner) else {}
-            for p, own in _grouped(part):
-                place[own] = np.arange(len(own))
-                e = by_part.get(p, np.zeros(0, np.int64))
+            rows, first = [], 0
+            for p, own in part.items():
+                lo, hi = np.searchsorted(owner, (first, first + len(own)))
                 rows.append(
                     {
                         "part": p,
                         "chunk": c.row["chunk"],
-                        "words": _pack(b"\n".join([c.words[i] for i in own.tolist()])),
+                        "names": _pack(b"\n".join([c.words[i] for i in own.tolist()]) if named is not None else number[own].astype(np.uint32).tobytes()),
                         "seen": _pack(c.seen[own].tobytes()),
                         "classes": _pack(value[own].astype(np.int16).tobytes()),
-                        "rows": _pack(np.diff(place[owner[e]], prepend=0).astype(np.uint16 if len(own) < 2**16 else np.uint32).tobytes()),
-                        "cells": _pack(cell[e].astype(np.uint16).tobytes()),
-                        "counts": _pack(n[e].astype(np.uint32).tobytes()),
+                        "rows": _pack(np.bincount(owner[lo:hi] - first, minlength=len(own)).astype(np.uint16).tobytes()),
+                        "cells": _pack(cell[lo:hi].astype(np.uint8 if wide <= 256 else np.uint16).tobytes()),
+                        "counts": _pack(_small(n[lo:hi])),
                     }
                 )
+                first += len(own)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    columns = ["chunk", "held", "lengths", "tokens", "words", "seen"] + ([] if named is not None else ["parts", "marks"])
-    return chunks.select(*columns).mapInArrow(run, "part int, chunk long, " + ", ".join(f"{n} binary" for n in names))
+    columns = ["chunk", "held", "lengths", "tokens", "words", "seen"] + ([] if named is not None else ["marks", "moved"])
+    return chunks.select(*columns).mapInArrow(run, "part int, chunk long, " + ", ".join(f"{n} binary" for n in SENT))
 
 
-def _move(table: np.ndarray, classes: int):
-    """Class and count of each word after its move, sent back to the chunks, and sums of each class."""
-    wide = 2 * (classes + 2) + 1
+def _small(n: np.ndarray) -> bytes:
+    """Numbers from 1, nearly all small, as bytes: those over 254 are 255 here and stand in full behind."""
+    head = np.minimum(n, 255).astype(np.uint8).tobytes()
+    return np.uint32(len(n)).tobytes() + head + n[n > 254].astype(np.int64).tobytes()
+
 
-    def move(rows_: pa.Table) -> pa.Table:
-        columns = {n: rows_.column(n).to_pylist() for n in ("words", "seen", "classes", "rows", "cells", "counts")}
-        words, which, sizes = _merged_words(columns["words"])
-        seen = np.concatenate([_numbers(b, np.int32) for b in columns["seen"]])
-        total = np.bincount(which, seen, len(words)).astype(np.int64)
-        held = [np.cumsum(_numbers(b, np.uint16 if n < 2**16 else np.uint32).astype(np.int64)) for b, n in zip(columns["rows"], sizes, strict=True)]
-        first = np.repeat(np.cumsum(sizes) - sizes, [len(h) for h in held])
-        owner = which[first + np.concatenate(held)] if len(first) else np.zeros(0, np.int64)
-        cells = np.concatenate([_numbers(b, np.uint16) for b in columns["cells"]]).astype(np.int64)
-        counts = np.concatenate([_numbers(b, np.uint32) for b in columns["counts"]])
-        where = np.full(len(words), -1, np.int64)
+def _from_small(data: bytes) -> np.ndarray:
+    size = int(np.frombuffer(data, np.uint32, 1)[0])
+    n = np.frombuffer(data, np.uint8, size, 4).astype(np.int64)
+    n[n == 255] = np.frombuffer(data, np.int64, -1, 4 + size) if (n == 255).any() else 0
+    return n
+
+
+def _move(table: np.ndarray, classes: int, first: bool):
+    """Class of each word after its move, sent back to the chunks, and sums of each class; counts and numbers too the first time.
+
+    A word's number is its place in its part by count, then by the word itself,
+    so that the order of rows does not matter.
+    """
+    half = classes + 2
+    wide = 2 * half + 1
+
+    def move(rows: pa.Table) -> pa.Table:
+        columns = {n: rows.column(n).to_pylist() for n in SENT}
+        seen = [_numbers(b, np.int32) for b in columns["seen"]]
+        sizes = [len(x) for x in seen]
+        if first:
+            words, which, _ = _merged_words(columns["names"])
+            total = np.bincount(which, np.concatenate(seen), len(words)).astype(np.int64)
+            order = pc.sort_indices(pa.table({"n": total, "w": words}), sort_keys=[("n", "descending"), ("w", "ascending")]).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            which, total = rank[which], total[order]
+            del words
+        else:
+            which = np.concatenate([_numbers(b, np.uint32) for b in columns["names"]]).astype(np.int64)
+            total = np.bincount(which, np.concatenate(seen)).astype(np.int64)
+        known = int(np.count_nonzero(total))
+        each = np.concatenate([_numbers(b, np.uint16) for b in columns["rows"]]).astype(np.int64)
+        owner = np.repeat(which, each)
+        cells = np.concatenate([_numbers(b, np.uint8 if wide <= 256 else np.uint16) for b in columns["cells"]]).astype(np.int64)
+        counts = np.concatenate([_from_small(_unpack(b)) for b in columns["counts"]])
         given = np.concatenate([_numbers(b, np.int16) for b in columns["classes"]])
+        where = np.full(len(total), -1, np.int64)
         where[which[given >= 0]] = given[given >= 0]
-        # from frequent to rare; equal counts by the word, so that the order of rows does not matter
-        listed = words.to_pylist()
-        known = np.array(sorted(np.flatnonzero(total > 0).tolist(), key=lambda i: (-total[i], listed[i])), np.int64)
-        rank = np.full(len(words), len(known))
-        rank[known] = np.arange(len(known))
-        order = np.argsort(rank[owner], kind="stable")
-        owner, cells, counts = rank[owner[order]], cells[order], counts[order]
+        order = np.argsort(owner, kind="stable")
+        owner, cells, counts = owner[order], cells[order], counts[order]
 
         def beside(a: int, z: int) -> np.ndarray:
             lo, hi = np.searchsorted(owner, (a, z))
             return np.bincount((owner[lo:hi] - a) * wide + cells[lo:hi], counts[lo:hi], (z - a) * wide).reshape(z - a, wide)
 
-        after = moves(table.copy(), beside, where[known], classes)
-        moved = int((after != where[known]).sum())
-        where[known] = after
-        sums = [np.bincount(after[m], w, classes).astype(np.int64) for m, w in ((slice(None), total[known]), (slice(None), None), (total[known] == 1, None), (total[known] == 2, None))]
+        after = moves(table.copy(), beside, where[:known], classes)
+        moved = int((after != where[:known]).sum())
+        where[:known] = after
+        n = total[:known]
+        sums = [np.bincount(after[m], w, classes).astype(np.int64) for m, w in ((slice(None), n), (slice(None), None), (n == 1, None), (n == 2, None))]
         ends = np.cumsum(sizes)
-        made = [(_pack(total[which[e - n : e]].astype(np.int64).tobytes()), _pack(where[which[e - n : e]].astype(np.int16).tobytes())) for e, n in zip(ends, sizes, strict=True)]
-        return pa.table(
-            {
-                "chunk": pa.concat_arrays([rows_.column("chunk").combine_chunks(), pa.array([-1], pa.int64())]),
-                "part": pa.concat_arrays([rows_.column("part").combine_chunks(), rows_.column("part").combine_chunks()[:1]]),
-                "counts": pa.array([m[0] for m in made] + [np.append(np.concatenate(sums), moved).tobytes()], pa.binary()),
-                "classes": pa.array([m[1] for m in made] + [b""], pa.binary()),
-            }
-        )
+        spans = [which[e - k : e] for e, k in zip(ends, sizes, strict=True)]
+        nothing = [b""] * len(spans)
+        back = {
+            "classes": [_pack(where[x].astype(np.int16).tobytes()) for x in spans],
+            "counts": [_pack(total[x].tobytes()) for x in spans] if first else nothing,
+            "numbers": [_pack(x.astype(np.uint32).tobytes()) for x in spans] if first else nothing,
+        }
+        head = {n: pa.concat_arrays([rows.column(n).combine_chunks(), end]) for n, end in (("chunk", pa.array([-1], pa.int64())), ("part", rows.column("part").combine_chunks()[:1]))}
+        return pa.table(head | {n: pa.array([*v, np.append(np.concatenate(sums), moved).tobytes() if n == "classes" else b""], pa.binary()) for n, v in back.items()})
 
     return move
 
 
+MOVED = "chunk long, part int, classes binary, counts binary, numbers binary"
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The classes' sums of many parts, added up."""
     total = None
     for batch in batches:
-        for raw in batch.column("counts").to_pylist():
+        for raw in batch.column("classes").to_pylist():
             own = np.frombuffer(raw, np.int64)
             total = own if total is None else total + own
     if total is not None:
@@ -502,12 +556,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _known(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Count and class of each word of a chunk's dictionary."""
-    counts, classes = np.zeros(len(c.words), np.int64), np.full(len(c.words), -1, np.int64)
     part = dict(_grouped(c.parts(c.row["parts"]))) if c.words else {}
-    for m in c.row["marks"] or []:
-        own = part[m["part"]]
-        counts[own], classes[own] = _numbers(m["counts"], np.int64), _numbers(m["classes"], np.int16)
-    return counts, classes
+    return c.placed(part, "marks", "counts", np.int64, 0), c.placed(part, "moved", "classes", np.int16, -1)
 
 
 def _transitions(marked: DataFrame, classes: int) -> np.ndarray:
@@ -516,13 +566,15 @@ def _transitions(marked: DataFrame, classes: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(wide * wide, np.int64)
         for c in _chunks(batches):
-            line = c.stream(_known(c)[1], classes, True)
+            part = dict(_grouped(c.parts(c.row["parts"]))) if c.words else {}
+            line = c.stream(c.placed(part, "moved", "classes", np.int16, -1), classes, True)
             total += np.bincount(line[:-1] * wide + line[1:], minlength=wide * wide)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["cell", "n"])
 
     out = np.zeros(wide * wide, np.int64)
-    for r in marked.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    read = marked.select("held", "lengths", "tokens", "words", "seen", "parts", "moved")
+    for r in read.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r["cell"]] = r["n"]
     return out.reshape(wide, wide)
 
@@ -603,14 +655,23 @@ def fit(df: DataFrame, classes: int = 64, core: int = 2048, seeding: int = 8, sw
     marked, best = chunks, None
     for k in range(sweeps + 1):
         sent = _beside(marked, classes, parts, None if k else named)
-        marks = scratch.save(sent.groupBy("part").applyInArrow(_move(table, classes), "chunk long, part int, counts binary, classes binary"), f"marks-{k}")
+        moved = scratch.save(sent.groupBy("part").applyInArrow(_move(table, classes, not k), MOVED), f"moved-{k}")
+        del sent
         sums = np.zeros(4 * classes + 1, np.int64)
-        for r in marks.filter("chunk = -1").select("counts").mapInArrow(_summed, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        for r in moved.filter("chunk = -1").select("classes").mapInArrow(_summed, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
             sums[r["cell"]] = r["n"]
-        gathered = marks.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "classes")).alias("marks"))
-        tried = chunks.join(gathered, "chunk", "left")
+        back = moved.filter("chunk >= 0")
+        if not k:
+            # counts and numbers stay as they are; bucketed like the chunks, they are read in place by every sweep
+            numbered = save_bucketed(scratch, back.groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "numbers")).alias("marks")), "marks", "chunk")
+            chunks = chunks.join(numbered, "chunk", "left")
+        own = save_bucketed(scratch, back.groupBy("chunk").agg(F.collect_list(F.struct("part", "classes")).alias("moved")), f"classes_{k}", "chunk")
+        scratch.drop(f"moved-{k}")
+        tried = chunks.join(own, "chunk", "left")
         bigrams = _transitions(tried, classes)
         found = likelihood(bigrams)
+        # shuffles of past sweeps are freed once nothing refers to them
+        spark.sparkContext._jvm.System.gc()
         if best is not None and found < best[0]:
             break
         best, marked = (found, bigrams, sums), tried
@@ -618,8 +679,6 @@ def fit(df: DataFrame, classes: int = 64, core: int = 2048, seeding: int = 8, sw
         table[: classes + 1, : classes + 1] = bigrams
         if not sums[-1]:
             break
-        if k:
-            scratch.drop(f"marks-{k - 1}")
     return marked, Model(best[1], *best[2][:-1].reshape(4, classes), texts)
 
 
