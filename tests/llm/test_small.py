@@ -863,6 +863,28 @@ def test_similar_groups_behind_a_shared_passage(spark):
     assert kept_copies(spark, rows) == expected
 
 
+def test_similar_groups_of_copies_that_only_share_their_original(spark):
+    """Sixty texts with twenty edited copies each: every copy is near its original and far from the other copies."""
+    r = random.Random(31)
+    rows, far = [], 0
+    for g in range(60):
+        base = [f"{r.choice('bdfgklmnprst')}{r.randrange(40_000)}" for _ in range(400)]
+        made = [base]
+        for _ in range(20):
+            copy = list(base)
+            for at in r.sample(range(400), 6):
+                copy[at] = f"x{r.randrange(10**6)}"
+            made.append(copy)
+        r.shuffle(made)  # the original is anywhere among them
+        rows += [(g * 21 + c, " ".join(words)) for c, words in enumerate(made)]
+        sets = [{tuple(w[k : k + 5]) for k in range(396)} for w in made[:4]]
+        far += sum(len(a & b) < 0.8 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    assert far > 200  # most pairs of copies are no link
+    first = kept_copies(spark, rows)
+    assert first == {g * 21 for g in range(60)}
+    assert kept_copies(spark, rows[::-1]) == first  # the order of rows does not matter
+
+
 def test_ranges_leave_out_no_pair():
     import numpy as np
 
