@@ -423,7 +423,9 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     closest together, whatever the size of their group.  The prefix filter
     misses none: two sets alike to ``similarity`` have one of their rarest
     n - ceil(similarity * n) + 1 shingles in common, at places that leave room
-    for the rest.  Shingles of up to ``SMALL`` texts give all pairs at once.
+    for the rest.  Shingles of up to ``SMALL`` texts give all pairs at once;
+    those whose parities differ more than alike sets can go before any shingle
+    is shuffled.
     Those of more texts give pairs that are not connected by then and whose
     parities differ no more than alike sets can: first a few of each text, then
     all that are left.  So a group of copies never makes all its pairs, and a
@@ -557,7 +559,23 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
 
     def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, own in placed(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([parity(shingle_set(t, size)).tobytes() for t in own], pa.binary())], names=["node", "bits"])
+            sets = [shingle_set(t, size) for t in own]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array([parity(x).tobytes() for x in sets], pa.binary())], names=["node", "n", "bits"])
+
+    def within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_u", "bits_v"))
+            size_ = batch.column("n_u").to_numpy().astype(np.int64) + batch.column("n_v").to_numpy()
+            far = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            near = pa.array(far <= (1 - similarity) / (1 + similarity) * size_ + SLACK)
+            yield batch.select(["u", "v"]).filter(near)
+
+    def screened(pairs: DataFrame) -> DataFrame:
+        """The pairs whose parities differ no more than alike sets can: a few hundred bytes a text instead of its shingles."""
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        bits = scratch.save(marked_nodes(asked).mapInArrow(parities, "node long, n int, bits binary"), "parities")
+        u, v = bits.toDF("u", "n_u", "bits_u"), bits.toDF("v", "n_v", "bits_v")
+        return pairs.join(u, "u").join(v, "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(within_bound, "u long, v long")
 
     def verified(pairs: DataFrame, k: int) -> DataFrame:
         asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -587,13 +605,14 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     large = met.filter("large").select(F.col("u").alias("key"), F.col("v").alias("node"), "n", "place")
     pairs = met.filter("not large").select("u", "v").union(close.union(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
     tested = scratch.save(pairs.distinct(), "pairs-0")
-    alike = verified(tested, 0)
+    alike = verified(scratch.save(screened(tested), "screened"), 0)
+    scratch.drop("parities", "screened", "prints")
     roots = star_components(alike, scratch, "stars-0")
     for k, most in ((1, 4), (2, None)):
         rooted = scratch.save(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"rooted-{k}")
         mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
         active = rooted.join(mixed, "key")
-        bits = marked_nodes(active.select("node").distinct()).mapInArrow(parities, "node long, bits binary")
+        bits = marked_nodes(active.select("node").distinct()).mapInArrow(parities, "node long, n int, bits binary").drop("n")
         dealt = active.join(bits, "node").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
         found = scratch.save(dealt.groupBy("part").applyInArrow(unconnected(most), "u long, v long").distinct(), f"found-{k}")
         pairs = scratch.save(found.join(tested, ["u", "v"], "left_anti"), f"pairs-{k}")
