@@ -87,10 +87,8 @@ def lemma_equality(spark, sf):
 def nearest_known(spark, sf):
     """Odd vectors with the nearest even one."""
     v = vectors(spark, sf)
-    p = resolve.similar_pairs(v, -1.0).filter("(a + b) % 2 = 1")
-    odd = F.when(F.col("a") % 2 == 1, F.col("a")).otherwise(F.col("b"))
-    best = p.select(odd.alias("id"), (F.col("a") + F.col("b") - odd).alias("known"), "score").groupBy("id").agg(F.max(F.struct("score", -F.col("known"))).alias("best"))
-    return best.select("id", (-F.col("best.col2")).alias("known"), F.col("best.score").alias("score"))
+    near = resolve.all_nearest(v.filter("id % 2 = 1"), v.filter("id % 2 = 0"), 1, -1.0)
+    return near.select("id", F.col("other_id").alias("known"), "score")
 
 
 def redundancy_gate(spark, sf):

@@ -146,3 +146,71 @@ def test_all_overlapping_pairs(spark):
     for days in (1, 3):
         got = [(x.other.id, x.id) for x in temporal.overlapping_pairs(facts, ["subject_id"], days).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def hard_vectors():
+    """Copies, vectors without a length, of other lengths, with a hole, and none."""
+    r = random.Random(9)
+    rows = [(i, [round(r.gauss(0, 1), 3) for _ in range(4)]) for i in range(50)]
+    rows += [(50 + i, list(rows[i][1])) for i in range(30)] + [(80 + i, list(rows[3][1])) for i in range(12)]
+    return rows + [(92, [0.0] * 4), (93, None), (94, [1.0, 2.0]), (95, [2.0, 4.0]), (96, [1.0, None, 0.0, 1.0])]
+
+
+def cosine_of(a, b):
+    if a is None or b is None or None in a or None in b or not any(a) or not any(b):
+        return None
+    dot = sum(x * y for x, y in zip(a, b, strict=True)) if len(a) == len(b) else 0.0
+    return round(dot / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 6)
+
+
+def best_by_hand(rows, asked, k, over):
+    want = {}
+    for i in asked:
+        near = [(-s, j) for j, v in rows if j != i and (s := cosine_of(dict(rows)[i], v)) is not None and s > over]
+        want |= {(i, rank + 1): (j, -s) for rank, (s, j) in enumerate(sorted(near)[:k])}
+    return want
+
+
+def test_all_nearest_match_all_pairs(spark):
+    rows = hard_vectors()
+    frame = spark.createDataFrame(rows, "id long, embedding array<double>")
+    for k, over, blocks in ((3, 0.2, (2, 3)), (1, -1.0, (1, 1)), (200, -2.0, None)):
+        got = {(x.id, x.rank): (x.other_id, abs(x.score) and x.score) for x in resolve.all_nearest(frame.filter("id % 3 = 0"), frame, k, over, blocks=blocks).collect()}
+        assert got == best_by_hand(rows, range(0, 97, 3), k, over)
+
+
+def test_the_best_of_a_block_by_tiles(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(resolve, "COLUMNS", 16)
+    monkeypatch.setattr(resolve, "ROWS", 8)
+    rows = hard_vectors()
+    block = resolve.block_of(pa.table({"id": [i for i, v in rows if v], "embedding": [v for _, v in rows if v]}))
+    for k, over in ((3, 0.2), (1, -2.0), (40, -2.0)):
+        got = {}
+        for ids, others, scores in resolve.best_of(block, block, k, over, 6):
+            for i, j, s in zip(ids.tolist(), others.tolist(), scores.tolist(), strict=True):
+                got[i, sum(x == i for x, _ in got) + 1] = (j, abs(s) and s)
+        assert got == best_by_hand(rows, range(97), k, over)
+
+
+def test_decisions_over_the_nearest_list_no_pairs(spark, monkeypatch):
+    from tempograph.queries import everything
+
+    def refuse(*_, **__):
+        raise AssertionError("all pairs are listed")
+
+    monkeypatch.setattr(resolve, "similar_pairs", refuse)
+    for name in ("disambiguated",):
+        assert everything()[name][0](spark, "/root/testdata/sf0.01").count()
+
+
+def test_similar_pairs_leave_their_task_by_tiles(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(resolve, "COLUMNS", 16)
+    monkeypatch.setattr(resolve, "ROWS", 16)
+    rows = pa.table({"id": pa.array(range(64)), "embedding": pa.array([[1.0, 0.0]] * 64), "own": pa.array([0] * 64, pa.int32())})
+    ids, found = resolve.hits(rows, 0, 0, 0.5, 6, None)
+    sizes = [len(x) for x, _, _ in found]
+    assert sum(sizes) == 64 * 63 // 2 and max(sizes) <= 256
