@@ -168,9 +168,7 @@ def contradiction_pool(spark, sf):
 
 def merge_components(spark, sf):
     """Components of pairs above a cosine, not over 32 wide, each with its least member."""
-    p = resolve.similar_pairs(vectors(spark, sf), MERGE)
-    links = p.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(p.select("b", "a"))
-    c = graph.components(links)
+    c = resolve.near_components(vectors(spark, sf), MERGE)
     size = c.groupBy("component").agg(F.count("*").alias("n")).filter("n <= 32")
     return c.join(size, "component").select("node", "component", "n")
 

@@ -201,10 +201,21 @@ def test_decisions_over_the_nearest_list_no_pairs(spark, monkeypatch):
         raise AssertionError("all pairs are listed")
 
     monkeypatch.setattr(resolve, "similar_pairs", refuse)
-    for name in ("disambiguated",):
+    for name in ("disambiguated", "merge_components"):
         assert everything()[name][0](spark, "/root/testdata/sf0.01").count()
 
 
+def test_near_components_match_pairs(spark):
+    frame = spark.createDataFrame(hard_vectors(), "id long, embedding array<double>")
+    odd = lambda a, b: (a + b) % 4 != 0
+    for threshold, allowed in ((0.9, None), (0.7, odd), (0.95, odd)):
+        pairs = resolve.similar_pairs(frame, threshold, blocks=3, allowed=allowed)
+        listed = pairs.select(F.col("a").alias("subject_id"), F.col("b").alias("object_id"))
+        want = {tuple(x) for x in graph.components(graph.undirected(listed)).collect()}
+        got = resolve.near_components(frame, threshold, blocks=3, allowed=allowed).collect()
+        assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
 def test_similar_pairs_leave_their_task_by_tiles(monkeypatch):
     import pyarrow as pa
 
