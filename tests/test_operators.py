@@ -194,6 +194,15 @@ def test_the_best_of_a_block_by_tiles(monkeypatch):
         assert got == best_by_hand(rows, range(97), k, over)
 
 
+def test_scan_of_queries_without_keys_makes_no_pairs(spark):
+    rows = [x for x in hard_vectors() if x[0] < 92]
+    frame = spark.createDataFrame(rows, "id long, embedding array<double>")
+    found = resolve.nearest(frame, frame.filter("id % 10 = 0"), 5, tables=1, bits=40)
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {(x.id, x.rank): (x.other_id, x.score) for x in found.collect()} == best_by_hand(rows, range(0, 92, 10), 5, -2.0)
+
+
 def test_decisions_over_the_nearest_list_no_pairs(spark, monkeypatch):
     from tempograph.queries import everything
 
