@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tempograph.functions import scoring, text
-from tempograph.functions.vector import cosine, nearest_each
+from tempograph.functions.vector import cosine
 from tempograph.operators import graph, mutate, resolve
 from tempograph.sources.adapters import EDGES_SQL, EPISODES_SQL, FACTS_SQL, NAMES_SQL, VECTORS_SQL, edges, episodes, facts, names, raw, vectors, with_sql
 
@@ -43,9 +43,8 @@ def alias_resolution(spark, sf):
 
 def blocking_candidates(spark, sf):
     """The three nearest of each vector, or those of its type."""
-    p = allpairs_cosine(spark, sf)
-    both = p.select(F.col("a").alias("id"), F.col("b").alias("other_id"), "score").union(p.select("b", "a", "score"))
-    return nearest_each(vectors(spark, sf), "id", both, 3).select("id", "other_id", "rank")
+    v = vectors(spark, sf)
+    return resolve.all_nearest(v, v, 3, CUT).select("id", "other_id", "rank")
 
 
 def name_match_pairs(spark, sf):
