@@ -223,6 +223,10 @@ def test_near_components_match_pairs(spark):
         want = {tuple(x) for x in graph.components(graph.undirected(listed)).collect()}
         got = resolve.near_components(frame, threshold, blocks=3, allowed=allowed).collect()
         assert {tuple(x) for x in got} == want and len(got) == len(want)
+        known = resolve.cliques(pairs.select("a", "b", F.lit(1).cast("long").alias("weight")), 12)
+        inside = resolve.near_groups(frame, threshold, 12, allowed).withColumn("weight", F.lit(1).cast("long"))
+        every = lambda rows: sorted((x.component, tuple(x.members), x.weight) for x in rows.collect())
+        assert every(resolve.cliques_inside(inside)) == every(known)
 
 
 def test_similar_pairs_leave_their_task_by_tiles(monkeypatch):
