@@ -210,7 +210,7 @@ def test_decisions_over_the_nearest_list_no_pairs(spark, monkeypatch):
         raise AssertionError("all pairs are listed")
 
     monkeypatch.setattr(resolve, "similar_pairs", refuse)
-    for name in ("disambiguated", "blocking_candidates", "merge_components"):
+    for name in ("disambiguated", "redundancy_gate", "blocking_candidates", "merge_components"):
         assert everything()[name][0](spark, "/root/testdata/sf0.01").count()
 
 
