@@ -60,6 +60,7 @@ class Pieces:
     byte_weight: float
     longest: int
     texts: list[bytes]
+    guess: np.ndarray  # by slot, where in the hashes its piece is
 
     @classmethod
     def load(cls, path: str, alpha: float) -> Pieces:
@@ -90,8 +91,16 @@ class Pieces:
             raise ValueError("two pieces have the same hash")
         begun = np.array([hash_of(b) for b in {names[i][:n] for i in found for n in range(1, len(names[i]))}], np.uint64)
         order = np.argsort(hashes)
-        return cls(hashes[order], begun, np.array(found)[order], weights, first, unseen, max(len(names[i]) for i in found), texts)
+        guess = np.zeros(1 << 21, np.uint16)
+        guess[_slot(hashes[order])] = np.arange(len(order))
+        return cls(hashes[order], begun, np.array(found)[order], weights, first, unseen, max(len(names[i]) for i in found), texts, guess)
 
+    def find(self, h: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Where in the hashes each one would be; one of two pieces that share a slot is looked up."""
+        where = self.guess[slot].astype(np.int64)
+        missed = np.flatnonzero(self.hashes[where] != h)
+        where[missed] = np.minimum(np.searchsorted(self.hashes, h[missed]), len(self.hashes) - 1)
+        return where
 
     def weight_of(self, piece: np.ndarray) -> np.ndarray:
         """Weights of ids, and of characters that stand for several bytes."""
@@ -144,10 +153,11 @@ class Lattice:
                 break
             step = h[live] * _BASE + code[live + length - 1] + np.uint64(1)
             h[live] = step
-            kind = seen[_slot(step)]
+            slot = _slot(step)
+            kind = seen[slot]
             maybe = np.flatnonzero(kind & 1)
             part = step[maybe]
-            where = np.minimum(np.searchsorted(pieces.hashes, part), len(pieces.hashes) - 1)
+            where = pieces.find(part, slot[maybe])
             real = pieces.hashes[where] == part
             made[live[maybe[real]], length - 1] = pieces.ids[where[real]]
             # only where a longer piece begins like this
@@ -189,7 +199,7 @@ class Lattice:
             share = np.exp(weight + np.where(inside, back[finish], 0.0) - back[begin])
             self.back = back
         self.inside = inside
-        self.first = np.searchsorted(self.begin, np.arange(n + 1))
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(self.begin, minlength=n))))
         total = np.cumsum(share)
         last = self.first[1:] - 1
         before = np.concatenate(([0.0], total[last]))[self.begin] if n else total
@@ -197,6 +207,17 @@ class Lattice:
         fraction[last] = 1.0
         self.keys = self.begin + fraction
 
+    def edge(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge from each place that a number in [0, 1) falls on; few have more than two to pass."""
+        out, aim = self.first[place], place + u
+        last = self.first[place + 1] - 1
+        left = np.flatnonzero((out < last) & (self.keys[out] <= aim))
+        while len(left):
+            now = out[left] + 1
+            out[left] = now
+            left = left[(now < last[left]) & (self.keys[now] <= aim[left])]
+        return out
+
     def listed(self, types: np.ndarray) -> tuple[dict[int, tuple[int, int]], list, tuple]:
         """Some units with places of their own: each unit's span, the real places, and the edges as lists."""
         types = np.unique(types)
@@ -300,18 +321,21 @@ def drawn(lattice: Lattice, types: np.ndarray, start: np.ndarray, state: np.ndar
     count, mass = np.zeros(n, np.int64), np.where(at < end, -lattice.back[at], 0.0)
     live = np.argsort(start, kind="stable")  # equal units side by side, so that lookups stay near each other
     live = live[at[live] < end[live]]
+    # what goes on is held in that order, without gaps
+    place, stop, seed, log_p = at[live], end[live], state[live], mass[live]
     steps = []
     step = 0
     while len(live):
-        u = _uniform(state[live] + np.uint64(step * 0xD1B54A32D192ED03 % 2**64))
-        edge = np.searchsorted(lattice.keys, at[live] + u, side="right")
-        edge = np.minimum(edge, lattice.first[at[live] + 1] - 1)
+        edge = lattice.edge(place, _uniform(seed + np.uint64(step * 0xD1B54A32D192ED03 % 2**64)))
         steps.append((live, lattice.piece[edge]))
-        mass[live] += lattice.weight[edge]
-        at[live] = lattice.finish[edge]
-        count[live] += 1
-        live = live[at[live] < end[live]]
+        log_p += lattice.weight[edge]
+        place = lattice.finish[edge]
         step += 1
+        on = place < stop
+        done = live[~on]
+        count[done] = step
+        mass[done] = log_p[~on]
+        live, place, stop, seed, log_p = live[on], place[on], stop[on], seed[on], log_p[on]
     offset = np.cumsum(count) - count
     flat = np.empty(int(count.sum()), np.int64)
     for k, (who, piece) in enumerate(steps):

@@ -899,3 +899,19 @@ def test_ranges_leave_out_no_pair():
         got = {p for i, j in _blocks(n, place, 0.8, 50) for p in zip(i.tolist(), j.tolist(), strict=True)}
         assert got == set(zip(*(x.tolist() for x in np.nonzero(want)), strict=True))
         assert not ((want.any(0) | want.any(1)) & ~usable(n, place, 0.8)).any()
+
+
+def test_segmentation_lookups_are_searches(piece_model):
+    import numpy as np
+
+    from tempograph.llm.segmentation import Lattice, Pieces, _seen, _slot
+
+    pieces = Pieces.load(piece_model, 0.2)
+    slots = _slot(pieces.hashes)
+    assert len(np.unique(slots)) < len(slots) and (pieces.find(pieces.hashes, slots) == np.arange(len(slots))).all()
+    lattice = Lattice(["the", "internationalisation", "a", "", "naïve▁x"], pieces, _seen(pieces))
+    place = np.repeat(np.arange(len(lattice.first) - 1), 50)
+    u = np.random.default_rng(1).random(len(place))
+    u[:3] = 0.0, 0.5, 1 - 2.0**-53
+    want = np.minimum(np.searchsorted(lattice.keys, place + u, side="right"), lattice.first[place + 1] - 1)
+    assert (lattice.edge(place, u) == want).all()
