@@ -238,3 +238,17 @@ def test_similar_pairs_leave_their_task_by_tiles(monkeypatch):
     ids, found = resolve.hits(rows, 0, 0, 0.5, 6, None)
     sizes = [len(x) for x, _, _ in found]
     assert sum(sizes) == 64 * 63 // 2 and max(sizes) <= 256
+
+
+def test_fallback_scans_where_close_copies_share_keys(spark, tmp_path):
+    import numpy as np
+
+    from tempograph.queries import everything
+
+    angle = np.random.default_rng(5).uniform(0, 0.2, 300)
+    rows = [(100 * i, [float(np.cos(a)), float(np.sin(a))], 0) for i, a in enumerate(angle)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(x.id, x.rank): x.other_id for x in everything()["ann_fallback"][0](spark, str(tmp_path)).collect()}
+    score = np.round(np.cos(angle[:, None] - angle[None, :]), 6)
+    np.fill_diagonal(score, -2)
+    assert got == {(100 * i, r + 1): 100 * int(j) for i in range(300) for r, j in enumerate(np.argsort(-score[i], kind="stable")[:5])}
