@@ -29,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, by_bytes, give_back, parallelism, save_bucketed
 from .components import star_components
-from .suffix_dedup import chunked, unpack
+from .suffix_dedup import chunked, pack, unpack
 
 # Fixed value: a generator polynomial of the binary Golay code.
 GENERATOR = 0b101011100011
@@ -299,6 +300,7 @@ def near_groups(df: DataFrame, size: int = 4, most: int = 4, id_col: str = "doc_
 SMALL = 16
 SLACK = 1e-9
 BITS = 2048
+CELL = 32
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
@@ -411,6 +413,24 @@ def large_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.nda
     return np.concatenate(found)
 
 
+def celled(pairs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """(cell, u, v): the pairs, in cells of bounded size of which each node needs few.
+
+    A component of the pairs with up to ``CELL`` nodes is one block; those of a
+    larger one are dealt into blocks of about as many by hash.  The pairs of a
+    block's nodes u are a cell, or, where they are many, several by their v.
+    Equal hashes of two cells make them one.
+    """
+    below = star_components(pairs, scratch, label)
+    roots = below.filter("node <> root").union(below.select("root", "root").distinct())
+    blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / CELL).alias("blocks"))
+    block = F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = scratch.save(pairs.join(roots.join(blocks, "root").select(F.col("node").alias("u"), block.alias("block")), "u"), f"{label}-blocks")
+    parts = dealt.groupBy("block").agg(F.ceil(F.count("*") / (8 * CELL)).alias("parts"))
+    cell = F.xxhash64("block", F.pmod(F.xxhash64("v"), F.col("parts")))
+    return dealt.join(parts, "block").select(cell.alias("cell"), "u", "v")
+
+
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies, with all its columns: the one of least id (of equal rows, one).
 
@@ -424,7 +444,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     misses none: two sets alike to ``similarity`` have one of their rarest
     n - ceil(similarity * n) + 1 shingles in common, at places that leave room
     for the rest.  Shingles of up to ``SMALL`` texts give all pairs at once;
-    those whose parities differ more than alike sets can go before any shingle
+    those whose parities differ more than alike sets can go before any text
     is shuffled.
     Those of more texts give pairs that are not connected by then and whose
     parities differ no more than alike sets can: first a few of each text, then
@@ -432,7 +452,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     passage that many texts share only those near the bound.
 
     Texts are packed into chunks bucketed by chunk, so nothing but keys, pairs
-    and the shingles of paired texts is shuffled.
+    and paired texts is shuffled: those go, packed, once to each cell of their
+    pairs (``celled``), not with every pair.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
@@ -458,6 +479,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     rank = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), "chunk", "place")
     texts = scratch.save(named.groupBy("same").agg(F.min(rank).alias("best")).select("best.*"), "texts")
     needed = ["chunk", "lengths", "data", "places"]
+    in_cells = pa.schema([("cell", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("text", pa.binary())])
 
     def marked(nodes: DataFrame) -> DataFrame:
         return chunks.join(nodes.groupBy("chunk").agg(F.collect_list("place").alias("places")), "chunk")
@@ -552,11 +574,6 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
             }
         )
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, own in placed(batches):
-            sets = [shingle_set(t, size).view(np.int64) for t in own]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
-
     def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, own in placed(batches):
             sets = [shingle_set(t, size) for t in own]
@@ -577,15 +594,51 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
         u, v = bits.toDF("u", "n_u", "bits_u"), bits.toDF("v", "n_v", "bits_v")
         return pairs.join(u, "u").join(v, "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(within_bound, "u long, v long")
 
+    def sent(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                whole, rows, held = texts_of(batch, i), [], 0
+                for asked in batch.column("asked")[i].as_py():
+                    text = pack(whole[asked["place"]].encode("utf-8", "replace"))
+                    node = batch.column("chunk")[i].as_py() << 15 | asked["place"]
+                    for cell in asked["cells"]:
+                        rows.append({"cell": cell, "u": node, "v": None, "text": text})
+                        held += len(text)
+                        if held > most:
+                            yield pa.RecordBatch.from_pylist(rows, in_cells)
+                            rows, held = [], 0
+                yield pa.RecordBatch.from_pylist(rows, in_cells)
+        give_back()
+
+    def alike_in(table: pa.Table) -> pa.Table:
+        """The pairs of a cell that are alike; shingles are made when a pair asks for them, and held up to a bound."""
+        asks = pc.is_null(table.column("text"))
+        texts = table.filter(pc.invert(asks))
+        packed = dict(zip(texts.column("u").to_pylist(), texts.column("text").to_pylist(), strict=True))
+        sets: dict[int, np.ndarray] = {}
+        held, out = 0, []
+        for u, v in sorted(zip(*(table.filter(asks).column(c).to_pylist() for c in ("u", "v")), strict=True)):
+            for node in (u, v):
+                if node not in sets:
+                    if held > 64_000_000:
+                        sets, held = {k: sets[k] for k in (u, v) if k in sets}, 0
+                    sets[node] = shingle_set(unpack(packed[node]).decode("utf-8"), size)
+                    held += sets[node].nbytes
+            shared = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+            every = len(sets[u]) + len(sets[v]) - shared
+            if shared >= similarity * every or not every:
+                out.append((u, v))
+        return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
+
     def verified(pairs: DataFrame, k: int) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        sets = scratch.save(marked_nodes(asked).mapInArrow(shingles, "node long, set array<bigint>"), f"sets-{k}")
-        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-        shared = F.size(F.array_intersect("a", "b"))
-        every = F.size("a") + F.size("b") - shared
-        alike = scratch.save(both.filter((shared >= similarity * every) | (every == 0)).select("u", "v"), f"alike-{k}")
-        scratch.drop(f"sets-{k}")
-        return alike
+        """The alike ones; a text goes once, packed, to each cell of its pairs."""
+        cells = scratch.save(celled(pairs, scratch, f"asked-{k}"), f"cells-{k}")
+        asked = cells.select(F.explode(F.array("u", "v")).alias("node"), "cell").groupBy("node").agg(F.collect_set("cell").alias("cells"))
+        where = asked.select(F.shiftright("node", 15).alias("chunk"), F.struct(F.col("node").bitwiseAND(F.lit(2**15 - 1)).cast("int").alias("place"), "cells").alias("asked"))
+        holds = chunks.join(where.groupBy("chunk").agg(F.collect_list("asked").alias("asked")), "chunk").select("chunk", "lengths", "data", "asked")
+        texts_sent = holds.mapInArrow(sent, "cell long, u long, v long, text binary")
+        met = cells.withColumn("text", F.lit(None).cast("binary")).union(texts_sent).groupBy("cell").applyInArrow(alike_in, "u long, v long")
+        return scratch.save(met, f"alike-{k}")
 
     def unconnected(most: int | None):
         def run(table: pa.Table) -> pa.Table:

@@ -885,6 +885,19 @@ def test_similar_groups_of_copies_that_only_share_their_original(spark):
     assert kept_copies(spark, rows[::-1]) == first  # the order of rows does not matter
 
 
+def test_cells_hold_each_pair_once_and_few_copies_of_a_text(spark):
+    from tempograph.llm.common import Scratch
+    from tempograph.llm.simhash import CELL, celled
+
+    small = {(100 * g + a, 100 * g + b) for g in range(5) for a in range(20) for b in range(a + 1, 20)}
+    hub = {(10_000, 10_000 + k) for k in range(1, 1001)}
+    made = celled(spark.createDataFrame(sorted(small | hub), "u long, v long"), Scratch(spark, "cells"), "stars").collect()
+    assert sorted((x.u, x.v) for x in made) == sorted(small | hub)
+    assert len({(x.cell, n) for x in made if x.u < 10_000 for n in (x.u, x.v)}) == 100  # once each, not once a pair
+    cells = {x.cell for x in made if x.u == 10_000}
+    assert len(cells) == 4 and all(sum(x.cell == c for x in made) < 12 * CELL for c in cells)
+
+
 def test_ranges_leave_out_no_pair():
     import numpy as np
 
