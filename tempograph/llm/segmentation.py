@@ -183,29 +183,37 @@ class Lattice:
         places = begin[by[new]]
         spans = [(lo, hi, new[lo], new[hi] if hi < len(new) else len(by)) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if lo < hi]
         onward, within = finish[by], inside[by]
+        del distance, cell
         if sizes.max() <= SHORT:  # no product of weights can underflow
             heavy = np.exp(weight)
             sums = np.ones(n + 1)
             moved = heavy[by]
             for lo, hi, x, y in spans:
                 sums[places[lo:hi]] = np.add.reduceat(moved[x:y] * np.where(within[x:y], sums[onward[x:y]], 1.0), new[lo:hi] - x)
-            share = heavy * np.where(inside, sums[finish], 1.0) / sums[begin]
+            del by, onward, within, moved
+            share = heavy
+            share *= np.where(inside, sums[finish], 1.0)
+            share /= sums[begin]
             self.back = np.log(sums)
         else:
             back = np.zeros(n + 1)
             moved = weight[by]
             for lo, hi, x, y in spans:
                 back[places[lo:hi]] = np.logaddexp.reduceat(moved[x:y] + np.where(within[x:y], back[onward[x:y]], 0.0), new[lo:hi] - x)
+            del by, onward, within, moved
             share = np.exp(weight + np.where(inside, back[finish], 0.0) - back[begin])
             self.back = back
         self.inside = inside
         self.first = np.concatenate(([0], np.cumsum(np.bincount(self.begin, minlength=n))))
-        total = np.cumsum(share)
+        # in place: a batch's edges are many, and executors hold several workers
+        keys = np.cumsum(share, out=share)
         last = self.first[1:] - 1
-        before = np.concatenate(([0.0], total[last]))[self.begin] if n else total
-        fraction = np.minimum(total - before, 1.0)
-        fraction[last] = 1.0
-        self.keys = self.begin + fraction
+        if n:
+            keys -= np.concatenate(([0.0], keys[last]))[begin]
+        np.minimum(keys, 1.0, out=keys)
+        keys[last] = 1.0
+        keys += begin
+        self.keys = keys
 
     def edge(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge from each place that a number in [0, 1) falls on; few have more than two to pass."""

@@ -301,6 +301,7 @@ SMALL = 16
 SLACK = 1e-9
 BITS = 2048
 CELL = 32
+HERE = 500_000  # links that the driver contracts: 8 MB
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
@@ -421,7 +422,7 @@ def celled(pairs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     block's nodes u are a cell, or, where they are many, several by their v.
     Equal hashes of two cells make them one.
     """
-    below = star_components(pairs, scratch, label)
+    below = star_components(pairs, scratch, label, HERE)
     roots = below.filter("node <> root").union(below.select("root", "root").distinct())
     blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / CELL).alias("blocks"))
     block = F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -660,7 +661,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     tested = scratch.save(pairs.distinct(), "pairs-0")
     alike = verified(scratch.save(screened(tested), "screened"), 0)
     scratch.drop("parities", "screened", "prints")
-    roots = star_components(alike, scratch, "stars-0")
+    roots = star_components(alike, scratch, "stars-0", HERE)
     for k, most in ((1, 4), (2, None)):
         rooted = scratch.save(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"rooted-{k}")
         mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
@@ -675,7 +676,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
             continue
         tested = tested.union(pairs)
         alike = alike.union(verified(pairs, k))
-        roots = star_components(alike, scratch, f"stars-{k}")
+        roots = star_components(alike, scratch, f"stars-{k}", HERE)
     node = F.shiftleft("chunk", 15).bitwiseOR(F.col("place").cast("long"))
     grouped = texts.withColumn("node", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = scratch.save(grouped.groupBy("root").agg(F.min(F.struct("id", "chunk", "place")).alias("best")).select("best.chunk", "best.place"), "kept")

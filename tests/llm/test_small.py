@@ -898,6 +898,22 @@ def test_cells_hold_each_pair_once_and_few_copies_of_a_text(spark):
     assert len(cells) == 4 and all(sum(x.cell == c for x in made) < 12 * CELL for c in cells)
 
 
+def test_few_links_are_contracted_without_rounds(spark, monkeypatch):
+    from tempograph.llm import components
+    from tempograph.llm.common import Scratch
+
+    r = random.Random(3)
+    pairs = [(r.randrange(300) - 50, r.randrange(300) - 50) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    scratch = Scratch(spark, "test-stars")
+    by_rounds = {tuple(x) for x in components.star_components(edges, scratch, "rounds").collect()}
+    saved = []
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, *a, f=Scratch.save: saved.append(name) or f(self, df, name, *a))
+    assert {tuple(x) for x in components.star_components(edges, scratch, "here", here=1000).collect()} == by_rounds and saved == ["here-0"]
+    assert components.star_components(edges.filter("u > 5000"), scratch, "none", here=1000).count() == 0
+    assert {tuple(x) for x in components.star_components(edges, scratch, "many", here=10).collect()} == by_rounds and "many-1" in saved
+
+
 def test_ranges_leave_out_no_pair():
     import numpy as np
 
