@@ -220,10 +220,14 @@ def moves(table: np.ndarray, beside: Callable[[int, int], np.ndarray], where: np
         stays = inside & (gain[rows, new] <= gain[rows, np.minimum(old, classes - 1)] + 1e-9)
         new = np.where(stays, old, new)
         w = np.flatnonzero(new != old)
+        # whole numbers: sums are exact in any order
+        change = np.zeros((wide, len(w)))
+        change[new[w], np.arange(len(w))] = 1.0
+        change[old[w], np.arange(len(w))] -= 1.0
+        table += change @ after[w]
+        table += (change @ before[w]).T
         for to, sign in ((old[w], -1.0), (new[w], 1.0)):
-            np.add.at(table, to, sign * after[w])
-            np.add.at(table.T, to, sign * before[w])
-            np.add.at(table, (to, to), sign * own[w])
+            table[np.arange(wide), np.arange(wide)] += sign * np.bincount(to, own[w], wide)
         np.maximum(table, 0.0, out=table)
         where[a:z] = new
         a, size = z, min(2 * size, 2048)
@@ -232,7 +236,7 @@ def moves(table: np.ndarray, beside: Callable[[int, int], np.ndarray], where: np
 
 # ---- chunks
 
-CHUNKS = "chunk long, ids array<bigint>, held binary, lengths binary, tokens binary, words binary, seen binary, bytes long"
+CHUNKS = "chunk long, ids array<bigint>, held binary, lengths binary, tokens binary, words binary, digests binary, seen binary, bytes long"
 
 
 def _encode(df: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -251,17 +255,19 @@ def _encode(df: DataFrame, chunk_bytes: int) -> DataFrame:
             rank[order] = np.arange(distinct)
             tokens = rank[tokens]
             seen = np.bincount(tokens[np.repeat(~held, lengths)], minlength=distinct)
+            words = list(map(str.encode, coded.dictionary.take(pa.array(order)).to_pylist()))
             row = {
                 "chunk": task << 32 | made,
                 "ids": batch.column("id").to_pylist(),
                 "held": np.packbits(held).tobytes(),
                 "lengths": _pack(lengths.astype(np.int32).tobytes()),
                 "tokens": _pack(tokens.astype(np.uint32).tobytes()),
-                "words": _pack("\n".join(coded.dictionary.take(pa.array(order)).to_pylist()).encode()),
+                "words": _pack(b"\n".join(words)),
+                "digests": np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, distinct).tobytes(),
                 "seen": _pack(seen.astype(np.int32).tobytes()),
                 "bytes": pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0,
             }
-            kinds = [pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * 5 + [pa.int64()]
+            kinds = [pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * 6 + [pa.int64()]
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema(list(zip(row, kinds, strict=True))))
 
     return df.mapInArrow(run, CHUNKS)
@@ -273,17 +279,17 @@ class Chunk:
         self.lengths = _numbers(row["lengths"], np.int32).astype(np.int64)
         self.tokens = _numbers(row["tokens"], np.uint32).astype(np.int64)
         self.held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=len(self.lengths)).astype(bool)
-        joined = _unpack(row["words"])
+        joined = _unpack(row["words"]) if "words" in row else b""
         self.words = joined.split(b"\n") if joined else []
         self.seen = _numbers(row["seen"], np.int32)
+        self.distinct = len(self.seen)
 
     def parts(self, parts: int) -> np.ndarray:
-        digest = xxhash.xxh32_intdigest
-        return np.fromiter((digest(w) for w in self.words), np.int64, len(self.words)) % parts
+        return np.frombuffer(self.row["digests"], np.uint32) % np.uint32(parts)
 
     def placed(self, part: dict[int, np.ndarray], column: str, name: str, kind: type, otherwise: int) -> np.ndarray:
         """What came back for each word of the dictionary, by its part."""
-        out = np.full(len(self.words), otherwise, np.int64)
+        out = np.full(self.distinct, otherwise, np.int64)
         for m in self.row[column] or []:
             out[part[m["part"]]] = _numbers(m[name], kind)
         return out
@@ -307,9 +313,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
 def _grouped(index: np.ndarray) -> list[tuple[int, np.ndarray]]:
     if not len(index):
         return []
-    order = np.argsort(index, kind="stable")
-    used, first = np.unique(index[order], return_index=True)
-    return list(zip(used.tolist(), np.split(order, first[1:]), strict=True))
+    most = int(index.max())
+    order = np.argsort(index.astype(np.uint16) if most < 1 << 16 else index, kind="stable")  # short numbers are sorted by radix
+    sizes = np.bincount(index, minlength=most + 1)
+    used = np.flatnonzero(sizes)
+    return list(zip(used.tolist(), np.split(order, np.cumsum(sizes[used])[:-1]), strict=True))
 
 
 # ---- counts of words
@@ -325,16 +333,24 @@ def _count(chunks: DataFrame, parts: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())]))
 
-    return chunks.select("chunk", "held", "lengths", "tokens", "words", "seen").mapInArrow(run, "part int, words binary, counts binary")
+    return chunks.select("chunk", "held", "lengths", "tokens", "words", "digests", "seen").mapInArrow(run, "part int, words binary, counts binary")
 
 
 def _merged_words(blobs: list[bytes]) -> tuple[pa.Array, np.ndarray, list[int]]:
     """Distinct words of several lists, the number of each entry's word, and the lists' lengths."""
-    lists = [_unpack(b).split(b"\n") for b in blobs]
-    coded = pa.array([w for own in lists for w in own], pa.binary()).dictionary_encode()
+    lists = [_listed(_unpack(b)) for b in blobs]
+    coded = pa.chunked_array(lists, pa.large_binary()).combine_chunks().dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), [len(x) for x in lists]
 
 
+def _listed(joined: bytes) -> pa.Array:
+    """Words that lines hold, as Arrow has them: all bytes but the ends of lines, and where each word begins."""
+    data = np.frombuffer(joined, np.uint8)
+    ends = np.flatnonzero(data == 10)
+    offsets = np.concatenate(([0], ends - np.arange(len(ends)), [len(data) - len(ends)])).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 10])])
+
+
 TOP = "part int, words binary, counts binary"
 
 
@@ -345,9 +361,11 @@ def _frequent(core: int):
         words, which, _ = _merged_words(table.column("words").to_pylist())
         counts = np.concatenate([_numbers(b, np.int64) for b in table.column("counts").to_pylist()])
         total = np.bincount(which, counts, len(words)).astype(np.int64)
-        listed = words.to_pylist()
-        first = sorted(range(len(listed)), key=lambda i: (-total[i], listed[i]))[:core]
-        row = {"part": table.column("part")[0].as_py(), "words": _pack(b"\n".join([listed[i] for i in first])), "counts": _pack(total[first].tobytes())}
+        # only words as frequent as the last one wanted are put in order
+        some = np.flatnonzero(total >= np.partition(total, len(total) - core)[len(total) - core]) if core < len(total) else np.arange(len(total))
+        order = pc.sort_indices(pa.table({"n": total[some], "w": words.take(pa.array(some))}), sort_keys=[("n", "descending"), ("w", "ascending")])
+        first = some[order.to_numpy()[:core]]
+        row = {"part": table.column("part")[0].as_py(), "words": _pack(b"\n".join(words.take(pa.array(first)).to_pylist())), "counts": _pack(total[first].tobytes())}
         return pa.Table.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())]))
 
     return top
@@ -432,7 +450,7 @@ def _beside(chunks: DataFrame, classes: int, parts: int, named: dict[bytes, int]
                 value = np.fromiter((named.get(w, outside) for w in c.words), np.int64, len(c.words))
             value = np.where(c.seen > 0, value, -1)
             line = c.stream(value, end, True)
-            word = c.stream(np.arange(len(c.words)), -1, True)
+            word = c.stream(np.arange(c.distinct), -1, True)
             at = np.flatnonzero(word >= 0)
             again = at[word[at - 1] == word[at]]
             # words in the order of their parts, so that a part's cells lie side by side
@@ -440,8 +458,8 @@ def _beside(chunks: DataFrame, classes: int, parts: int, named: dict[bytes, int]
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             key = np.concatenate([place[word[at]] * wide + line[at + 1], place[word[at]] * wide + classes + 2 + line[at - 1], place[word[again]] * wide + wide - 1])
-            if len(c.words) * wide <= 1 << 24:
-                n = np.bincount(key, minlength=len(c.words) * wide)
+            if c.distinct * wide <= 1 << 24:
+                n = np.bincount(key, minlength=c.distinct * wide)
                 key = np.flatnonzero(n)
                 n = n[key]
             else:
@@ -465,7 +483,7 @@ def _beside(chunks: DataFrame, classes: int, parts: int, named: dict[bytes, int]
                 first += len(own)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    columns = ["chunk", "held", "lengths", "tokens", "words", "seen"] + ([] if named is not None else ["marks", "moved"])
+    columns = ["chunk", "held", "lengths", "tokens", "digests", "seen"] + (["words"] if named is not None else ["marks", "moved"])
     return chunks.select(*columns).mapInArrow(run, "part int, chunk long, " + ", ".join(f"{n} binary" for n in SENT))
 
 
@@ -556,7 +574,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _known(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Count and class of each word of a chunk's dictionary."""
-    part = dict(_grouped(c.parts(c.row["parts"]))) if c.words else {}
+    part = dict(_grouped(c.parts(c.row["parts"]))) if c.distinct else {}
     return c.placed(part, "marks", "counts", np.int64, 0), c.placed(part, "moved", "classes", np.int16, -1)
 
 
@@ -566,14 +584,14 @@ def _transitions(marked: DataFrame, classes: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(wide * wide, np.int64)
         for c in _chunks(batches):
-            part = dict(_grouped(c.parts(c.row["parts"]))) if c.words else {}
+            part = dict(_grouped(c.parts(c.row["parts"]))) if c.distinct else {}
             line = c.stream(c.placed(part, "moved", "classes", np.int16, -1), classes, True)
             total += np.bincount(line[:-1] * wide + line[1:], minlength=wide * wide)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["cell", "n"])
 
     out = np.zeros(wide * wide, np.int64)
-    read = marked.select("held", "lengths", "tokens", "words", "seen", "parts", "moved")
+    read = marked.select("held", "lengths", "tokens", "digests", "seen", "parts", "moved")
     for r in read.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r["cell"]] = r["n"]
     return out.reshape(wide, wide)
@@ -633,7 +651,7 @@ def _scores(marked: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return marked.mapInArrow(run, schema)
+    return marked.drop("words").mapInArrow(run, schema)
 
 
 def fit(df: DataFrame, classes: int = 64, core: int = 2048, seeding: int = 8, sweeps: int = 3, folds: int = 10, chunk_bytes: int = 4_000_000, part_bytes: int = 24_000_000) -> tuple[DataFrame, Model]:

@@ -193,6 +193,28 @@ def test_lm_score_matches_plain_python(spark, docs):
     assert np.isfinite(model.step).all()
 
 
+def test_lm_words_are_hashed_once_and_left_behind(spark, docs):
+    import numpy as np
+    import xxhash
+
+    from tempograph.llm import lm_scoring
+
+    rows = docs.limit(50).selectExpr("doc_id as id", "text", "doc_id % 10 = 0 as held").coalesce(1)
+    row = lm_scoring._encode(rows, 4_000_000).first().asDict()
+    whole = lm_scoring.Chunk(row)
+    lean = lm_scoring.Chunk({k: v for k, v in row.items() if k != "words"})
+    assert lean.words == [] and lean.distinct == len(whole.words) > 100
+    assert lean.parts(7).tolist() == [xxhash.xxh32_intdigest(w) % 7 for w in whole.words]
+    values = np.arange(lean.distinct)
+    assert lean.stream(values, -1, False).tolist() == whole.stream(values, -1, False).tolist()
+    for joined in (b"", b"a", b"a\nbc\n\nd", "ä\n日本".encode()):
+        assert lm_scoring._listed(joined).to_pylist() == joined.split(b"\n")
+    index = np.random.default_rng(5).integers(0, 70_000, 500)
+    for most in (9, 70_001):
+        got = lm_scoring._grouped(index % most)
+        assert [(k, at.tolist()) for k, at in got] == [(k, np.flatnonzero(index % most == k).tolist()) for k in sorted(set((index % most).tolist()))]
+
+
 def test_lm_odd_rows(odd, empty):
     from tempograph.llm.lm_scoring import score
 
