@@ -30,6 +30,30 @@ def test_components_match_union_find(spark):
     assert got == want
 
 
+def test_components_of_a_shuffled_path_take_few_rounds(spark, monkeypatch):
+    path = list(range(300))
+    random.Random(3).shuffle(path)
+    links = graph.undirected(spark.createDataFrame(list(zip(path, path[1:], strict=False)), "subject_id long, object_id long"))
+    checkpoint, made = graph.kept, []
+
+    def counted(df):
+        made.append(checkpoint(df))
+        assert len(made) <= 14, "rounds grow with the path"
+        return made[-1]
+
+    monkeypatch.setattr(graph, "kept", counted)
+    assert {(x.node, x.component) for x in graph.components(links).collect()} == {(i, 0) for i in range(300)}
+
+
+def test_estimates_do_not_grow_over_rounds_of_joins(spark):
+    rows = graph.kept(spark.createDataFrame([(i, (i + 1) % 9) for i in range(9)], "a long, b long"))
+    for k in range(5):
+        onward = rows.select(F.col("a").alias("k"), F.col("b").alias("c"))
+        rows = graph.kept(rows.join(onward, rows.b == onward.k).select("a", F.col("c").alias("b")))
+        assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**63
+        assert {(x.a, x.b) for x in rows.collect()} == {(i, (i + 2 ** (k + 1)) % 9) for i in range(9)}
+
+
 def test_pagerank_matches_plain_iteration(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]
     near = {}
